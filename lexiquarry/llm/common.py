@@ -344,3 +344,23 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     cuts = np.flatnonzero(np.diff(p)) + 1
     for idx in np.split(o, cuts):
         yield int(part[idx[0]]), idx
+
+
+# --- operators that work row by row ----------------------------------------------------------------------------
+
+
+def beside(docs: DataFrame, func: Callable[[list[str]], dict[str, pa.Array]], fields: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as the struct ``row``, and beside it what ``func`` makes of the texts (null: empty).
+
+    Whatever columns ``docs`` has pass through in ``row``, so none can clash with the results.
+    """
+    tune(docs.sparkSession)
+    inner = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    schema = f"row {inner.schema['row'].dataType.simpleString()}, {fields}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = func(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("row"), *got.values()], ["row", *got])
+
+    return inner.mapInArrow(run, schema)

@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe
 from .common import documents
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
+
+
+def bpe_file() -> str:
+    """The public byte-level vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe(documents(spark, sf_dir), bpe_file())
+    return got.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup(documents(spark, sf_dir))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +34,9 @@ def op6_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_rabin_karp,)}
+def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), bpe_file())
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op5_suffix_array, op6_rabin_karp, op7_digest_cache)}
 ORACLES: dict[str, str] = {}
