@@ -34,11 +34,27 @@ _SELF = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *rang
 BYTE_OF = {chr(b): b for b in _SELF} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_SELF))}
 #: Fixed value: how byte-level tokenizers split texts into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Characters that the tokenizers library's Unicode tables don't know yet as letters or numbers, but regex's do.
+NEWER = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+    r"\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    r"\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    r"\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_NEW = regex.compile(f"[{NEWER}]")
+_OLD_WORDS = regex.compile(WORDS.pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[{NEWER}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])").replace(r" ?\p{L}+", rf" ?(?:(?![{NEWER}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{NEWER}])\p{{N}})+"))
 #: Words kept with their codes by a worker; when there are more, it starts anew.
 KEPT_WORDS = 200_000
 _NEVER = 1 << 62
 
 
+def split_words(text: str) -> list[str]:
+    return (WORDS if text.isascii() or not _NEW.search(text) else _OLD_WORDS).findall(text)
+
+
 class Automaton:
     """Deterministic over tokens; see the module. ``merges`` are pairs of ids in order, with the id that they make."""
 
@@ -140,12 +156,12 @@ class Tokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         code = self.words.__getitem__
         if not self.cut or not self.cut.search(text):
-            return b"".join(map(code, WORDS.findall(text)))
+            return b"".join(map(code, split_words(text)))
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*map(code, WORDS.findall(text[at : m.start()])), self.special[m[0]].to_bytes(4, "little")]
+            out += [*map(code, split_words(text[at : m.start()])), self.special[m[0]].to_bytes(4, "little")]
             at = m.end()
-        return b"".join([*out, *map(code, WORDS.findall(text[at:]))])
+        return b"".join([*out, *map(code, split_words(text[at:]))])
 
     def text(self, ids: bytes) -> str:
         """Emits the arcs' labels."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .common import documents
+from .decontaminate import decontaminate
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -38,5 +39,11 @@ def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), bpe_file())
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op5_suffix_array, op6_rabin_karp, op7_digest_cache)}
+def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return got.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join)}
 ORACLES: dict[str, str] = {}
