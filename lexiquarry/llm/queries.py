@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
-from .common import documents
+from .common import crc_mod, documents
 from .decontaminate import decontaminate
+from .language_id import identify, train
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -25,6 +26,13 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    got = identify(docs, train(docs.filter(crc_mod(3) != 1)))
+    held_out = F.coalesce(crc_mod(3, "row.doc_id") == 1, F.lit(False))
+    return got.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup(documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -45,5 +53,5 @@ def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join)}
+QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join)}
 ORACLES: dict[str, str] = {}
