@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .common import crc_mod, documents
 from .decontaminate import decontaminate
+from . import kneser_ney
 from .language_id import identify, train
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -21,6 +22,14 @@ def bpe_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(crc_mod(5) == 1, F.lit(False))
+    model = kneser_ney.train(docs.filter(~held_out))
+    got = kneser_ney.score(docs.withColumn("held_out", held_out), model)
+    return got.select("row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe(documents(spark, sf_dir), bpe_file())
     return got.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -53,5 +62,5 @@ def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join)}
 ORACLES: dict[str, str] = {}
