@@ -10,6 +10,7 @@ from .common import crc_mod, documents
 from .decontaminate import decontaminate
 from . import kneser_ney
 from .language_id import identify, train
+from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -62,5 +63,9 @@ def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join)}
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op10_bagminhash)}
 ORACLES: dict[str, str] = {}
