@@ -9,6 +9,7 @@ from .bpe import bpe
 from .common import crc_mod, documents
 from .decontaminate import decontaminate
 from . import kneser_ney
+from .embedding_dedup import embedding_dedup
 from .language_id import identify, train
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
@@ -63,9 +64,13 @@ def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op10_bagminhash)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op9_itq, op10_bagminhash)}
 ORACLES: dict[str, str] = {}
