@@ -3,13 +3,14 @@
 Sorting a row for each byte would move the corpus some forty times. So positions first go through two coarse ranks:
 
 1.  Runs. Each ``threshold``-byte window has an anchor: its ``ANCHOR``-byte substring of least hash. Consecutive
-    windows with the same anchor are a run, about 1/35 of the bytes. Equal windows have equal anchors, so a run whose
+    windows with the same anchor are a run, about one for 27 bytes. Equal windows have equal anchors, so a run whose
     anchor is unique in the corpus holds no repeated window and drops out. Runs of equal bytes get one rank; of each
     such class the first stays and the others are repeats as a whole.
 2.  Positions. Where an anchor occurs in several different surroundings, the windows of its runs are ranked one by
-    one by prefix doubling: positions are sorted by their first ``threshold``/4 bytes, and then, round by round, the
-    pairs (rank at p, rank at p + h) are sorted over all parts and reranked, h doubling, until positions are unique
-    (they drop out) or the prefix reaches ``threshold``. Positions that still share a rank are repeats, but the first.
+    one by prefix doubling. A position's rank is at first a 64-bit code of its next h = ``start`` bytes (as the plain
+    method starts from the codes of single characters). Round by round the pairs (rank at p, rank at p + h) are sorted
+    over all parts and reranked, h doubling, until positions are unique (they drop out) or the prefix reaches
+    ``threshold``. Positions that still share a rank are repeats, but the first.
 
 Each sort is dealt by hash of the pair over parts of bounded size. Every task sends one entry for each distinct key it
 holds, so a string that a third of the documents share doesn't gather in a part.
@@ -28,7 +29,7 @@ from .common import BASES, BYTE_VALUES, Rolling, Sized, binary, by_part, deal, d
 from .packed import DONE, FORCED, OPEN, RANK, STATE, TEXT
 
 PART_BYTES = 12 << 20
-ANCHOR = 32
+ANCHOR = 48
 PIECE = 1 << 18
 #: Different surroundings of one anchor that a task sends to the anchor's part; further ones go to parts of their own.
 SURROUNDINGS = 64
@@ -143,15 +144,18 @@ def _send_distinct(rows: packed.Rows, part: int, ids, subs, doc, pos, key: np.nd
     several = np.zeros(len(pos), bool)
     several[lead] = size > 1
     lead = np.sort(lead)
-    with np.errstate(over="ignore"):
-        to = (mix(key[lead] * np.uint64(BASES[0]) + aux[lead]) % np.uint64(parts)).astype(np.int64)
-    for p, i in by_part(to):
+    for p, i in by_part((aux[lead] % np.uint64(parts)).astype(np.int64)):
         i = lead[i]
-        rows.add(p, OPEN, pack(ids, subs, doc[i], pos[i]), key[i].tobytes(), aux[i].tobytes(), squeeze(several[i]))
+        rows.add(p, OPEN, pack(ids, subs, doc[i], pos[i]), key[i].tobytes(), None, squeeze(several[i]))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(a + np.uint64(seed)) * np.uint64(BASES[1]) + b)
 
 
-def _prefixes(w: int, h: int, parts: int):
-    """The first keys: hashes of the first h bytes at each position that a round may ask for."""
+def _prefixes(w: int, h: int, step: int, parts: int):
+    """The first pairs: codes of h bytes at p and at p + step, for each position p that a round may ask for."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = packed.Rows()
@@ -161,13 +165,15 @@ def _prefixes(w: int, h: int, parts: int):
         for r in sorted((r for r in kinds.get(TEXT, []) if (r["id"], r["sub"]) in wanted), key=lambda r: (r["id"], r["sub"])):
             data = np.frombuffer(unsqueezed(r["data"]), np.uint8)
             pos, n = wanted[r["id"], r["sub"]]
-            at = np.flatnonzero(packed.covered(len(data), pos, pos + n.astype(np.int64) + w - h))
+            at = np.flatnonzero(packed.covered(len(data), pos, pos + n.astype(np.int64) + w - h - step))
             key, aux = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
             for lo in range(0, len(data), PIECE):
                 i = slice(*np.searchsorted(at, [lo, lo + PIECE]))
-                values = BYTE_VALUES[data[lo : lo + PIECE + h]]
+                values = BYTE_VALUES[data[lo : lo + PIECE + h + step]]
+                a = at[i] - lo
                 for out, base in ((key, BASES[0]), (aux, BASES[1])):
-                    out[i] = mix(Rolling(values, base).of(at[i] - lo, at[i] - lo + h))
+                    code = Rolling(values, base)
+                    out[i] = _pairs(code.of(a, a + h), code.of(a + step, a + step + h), base)
             found.append((r["id"], r["sub"], at, key, aux))
         if found:
             doc = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
@@ -188,9 +194,9 @@ def _rank(parts: int):
             rows.add(r["part"], STATE, r["data"], r["key"])
         if found := kinds.get(OPEN):
             p = packed.Positions([r["data"] for r in found])
-            key, aux = packed.raw([r["key"] for r in found]), packed.raw([r["aux"] for r in found])
+            key = packed.raw([r["key"] for r in found])
             several = packed.nums_of(found, bool)
-            o, new = packed.groups((key, aux), p.order)
+            o, new = packed.groups((key,), p.order)
             at = np.flatnonzero(new)
             size = np.diff(np.append(at, len(o)))
             repeated = np.repeat((size > 1) | np.logical_or.reduceat(several[o], at), size)
@@ -237,7 +243,7 @@ def _double(step: int, parts: int):
             order = (doc.astype(np.uint64) << np.uint64(32)) | pos.astype(np.uint64)
             at = np.minimum(np.searchsorted(order, order + np.uint64(step)), len(order) - 1)
             ok = np.flatnonzero(order[at] == order + np.uint64(step))
-            _send_distinct(rows, table.column("part")[0].as_py(), ids, subs, doc[ok], pos[ok], rank[ok], rank[at[ok]], parts)
+            _send_distinct(rows, table.column("part")[0].as_py(), ids, subs, doc[ok], pos[ok], *(_pairs(rank[ok], rank[at[ok]], b) for b in BASES), parts)
         return rows.table()
 
     return run
@@ -277,11 +283,12 @@ def _cut(w: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = 100) -> DataFrame:
+def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None) -> DataFrame:
     """Removes each byte covered by a ``threshold``-byte string that also starts earlier.
 
     Earlier: in a smaller doc_id, or before it in the same document; overlaps count. Texts are UTF-8 bytes, matches
-    never cross documents and are judged on the input. ``threshold`` is at least 48. Returns doc_id, n_bytes,
+    never cross documents and are judged on the input. ``threshold`` is at least 64; ``start`` (default: half of it)
+    is the first prefix length of the doubling. Returns doc_id, n_bytes,
     n_removed, spans (maximal removed runs of bytes, [start, end)) and kept (binary: a cut may split a character).
 
     Null or empty text: no bytes. Null doc_id: sorts before all others. Rows that share a doc_id are documents of
@@ -294,9 +301,11 @@ def suffix_dedup(docs: DataFrame, threshold: int = 100) -> DataFrame:
     deals = lambda df, f: deal(df, f, packed.SCHEMA)
     sent = squeezed_texts(sized, parts)
     ranked = staged(deals(sized.df.mapInArrow(_sampled(threshold, parts), packed.SCHEMA), _ranked_runs(parts)), "suffix-runs")
-    h = threshold // 4
-    keys = deals(sent.unionByName(ranked.filter(f"kind = {OPEN}"), allowMissingColumns=True), _prefixes(threshold, h, parts))
+    h = start or -(-threshold // 2)
+    step = min(h, threshold - h)
+    keys = deals(sent.unionByName(ranked.filter(f"kind = {OPEN}"), allowMissingColumns=True), _prefixes(threshold, h, step, parts))
     ranks = deals(keys, _rank(parts))
+    h += step
     while h < threshold:
         step = min(h, threshold - h)
         ranks = deals(deals(ranks, _double(step, parts)), _rank(parts))
