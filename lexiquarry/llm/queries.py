@@ -10,6 +10,7 @@ from .common import crc_mod, documents
 from .decontaminate import decontaminate
 from . import kneser_ney
 from .embedding_dedup import embedding_dedup
+from .html_extract import extract
 from .language_id import identify, train
 from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
@@ -32,6 +33,11 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op2_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return got.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe(documents(spark, sf_dir), bpe_file())
     return got.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -72,5 +78,5 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op9_itq, op10_bagminhash)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_block_lstm, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op9_itq, op10_bagminhash)}
 ORACLES: dict[str, str] = {}
