@@ -111,6 +111,16 @@ class Sized:
         return max(least, math.ceil(self.bytes / part_bytes))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns (_id, _sub) by which Sized tells its rows apart."""
+    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    most = out.groupBy("_id").count().agg(F.max("count")).first()[0] or 0
+    if most > 1:
+        w = Window.partitionBy("_id").orderBy(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+        return out.withColumn("_sub", F.row_number().over(w).cast("long"))
+    return out.withColumn("_sub", F.lit(0).cast("long"))
+
+
 def deal(df: DataFrame, func: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Brings the packed rows of each ``part`` together. A part's size is bounded by how its number was chosen."""
     return df.groupBy("part").applyInArrow(func, schema)
