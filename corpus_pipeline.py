@@ -16,7 +16,7 @@ from lexiquarry.llm.decontaminate import decontaminate
 from lexiquarry.llm.language_id import UNDETERMINED, identify, train
 from lexiquarry.llm.near_dedup import near_dedup
 from lexiquarry.llm.queries import bpe_file
-from lexiquarry.llm.suffix_dedup import suffix_dedup, whole_characters
+from lexiquarry.llm.suffix_dedup import suffix_dedup
 
 #: Least share of a text's language; four languages without any evidence have 0.25 each.
 LEAST_SCORE = 0.4
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 100 bytes and more that occur earlier; documents of which nothing is left go."""
-    cut = suffix_dedup(docs).select("doc_id", "sub", "n_removed", whole_characters(F.col("kept")).alias("_kept"))
+    cut = suffix_dedup(docs, as_text=True).select("doc_id", "sub", "n_removed", F.col("kept").alias("_kept"))
     got = numbered(docs).drop("text").join(_keys(cut), ["_id", "_sub"])
     got = got.filter((F.col("n_removed") == 0) | (F.trim("_kept") != "")).withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
     return got.select(*docs.columns)

@@ -9,9 +9,11 @@ of a part together. The number of parts follows the size of the input, so that a
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,23 @@ from pyspark.sql.window import Window
 #: Stands for a null doc_id inside packed rows; it sorts first.
 NULL_ID = -(2**63)
 #: Rows and bytes of an Arrow batch: bounds what a Python worker holds of the input at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+# --- memory of Python workers ----------------------------------------------------------------------------------
+
+
+@lru_cache(1)
+def _libc():
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on after a task, and Spark doesn't count what they hold."""
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 # --- sessions, inputs, staged tables ---------------------------------------------------------------------------
@@ -123,7 +141,15 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def deal(df: DataFrame, func: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Brings the packed rows of each ``part`` together. A part's size is bounded by how its number was chosen."""
-    return df.groupBy("part").applyInArrow(func, schema)
+
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return func(table)
+        finally:
+            trim()
+
+    return df.groupBy("part").applyInArrow(run, schema)
 
 
 def doc_id_array(ids: np.ndarray) -> pa.Array:
@@ -154,7 +180,7 @@ def ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.lexsort((s, i))))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Joins small batches until their texts reach ``most`` bytes, in order of (id, sub)."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -164,10 +190,14 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterato
         held.append(b)
         size += b.column("text").nbytes
         if size >= most:
-            yield ordered(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            whole = ordered(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
             held, size = [], 0
+            yield whole
+            del whole
+            trim()
     if held:
         yield ordered(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    trim()
 
 
 # --- packing ---------------------------------------------------------------------------------------------------
@@ -372,5 +402,7 @@ def beside(docs: DataFrame, func: Callable[[list[str]], dict[str, pa.Array]], fi
         for b in batches:
             got = func(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("row"), *got.values()], ["row", *got])
+            del got
+            trim()
 
     return inner.mapInArrow(run, schema)

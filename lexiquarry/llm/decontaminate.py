@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, binary, mix, tune, word_bounds, word_hashes
+from .common import BASES, Rolling, binary, mix, trim, tune, word_bounds, word_hashes
 
 SHINGLE = 3
 #: Windows in a block: some 20 MB for a task.
@@ -114,6 +114,8 @@ def _counts(block):
             w = Words(*binary(batch.column("text")))
             for size in b.sizes:
                 n += np.bincount(b.find(w.shingles(size)[1])[1], minlength=len(n))
+            del w
+            trim()
         at = np.flatnonzero(n)
         yield pa.record_batch({"shingle": pa.array(b.shingles[at].view(np.int64)), "n": pa.array(n[at])})
 
@@ -156,6 +158,8 @@ def _hits(block, last: bool):
             if not last:
                 got["text"] = batch.column("text")
             yield pa.RecordBatch.from_arrays([*got.values()], [*got])
+            del w, got
+            trim()
 
     return run
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, SPACE, Rolling, Sized, binary, deal, mix, staged, tune, unsqueezed, word_bounds, word_hashes
+from .common import BASES, SPACE, Rolling, Sized, binary, deal, mix, staged, trim, tune, unsqueezed, word_bounds, word_hashes
 from .components import components
 from .decontaminate import LOWER
 
@@ -122,6 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = [x.tobytes() for x in sig.astype(np.uint16)]
             texts = [z.compress(t) for t in b.column("text").to_pylist()]
             yield pa.record_batch({"key": b.column("key"), "id": b.column("id"), "f1": f1, "f2": f2, "buckets": buckets, "signature": pa.array(short, pa.binary()), "text": pa.array(texts, pa.binary())})
+        trim()
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -21,10 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from . import packed
 from .common import BASES, BYTE_VALUES, Rolling, Sized, binary, by_part, deal, doc_id_array, expand, first_of, gathered, mix, pack, squeeze, squeezed_texts, staged, tune, unpack, unsqueezed
@@ -35,7 +33,7 @@ ANCHOR = 48
 PIECE = 1 << 18
 #: Different surroundings of one anchor that a task sends to the anchor's part; further ones go to parts of their own.
 SURROUNDINGS = 64
-OUT = "doc_id long, sub long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+OUT = "doc_id long, sub long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept {}"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _INDEX = np.uint64((1 << 20) - 1)
 
@@ -265,7 +263,7 @@ def _repeats(parts: int):
     return run
 
 
-def _cut(w: int):
+def _cut(w: int, as_text: bool):
     def run(table: pa.Table) -> pa.Table:
         kinds = packed.split_kinds(table)
         repeats = {k: (pos, n) for k, pos, n in packed.per_document(kinds.get(DONE, []))}
@@ -280,28 +278,19 @@ def _cut(w: int):
                 new = (r["id"], r["sub"], len(raw), int(gone.sum()), packed.spans(gone), np.frombuffer(raw, np.uint8)[~gone].tobytes())
             for c, v in zip(out, new, strict=True):
                 c.append(v)
-        return pa.table({"doc_id": doc_id_array(np.array(out[0], np.int64)), "sub": pa.array(out[1], pa.int64()), "n_bytes": pa.array(out[2], pa.int64()), "n_removed": pa.array(out[3], pa.int64()), "spans": pa.array(out[4], _SPANS), "kept": pa.array(out[5], pa.binary())})
+        return pa.table({"doc_id": doc_id_array(np.array(out[0], np.int64)), "sub": pa.array(out[1], pa.int64()), "n_bytes": pa.array(out[2], pa.int64()), "n_removed": pa.array(out[3], pa.int64()), "spans": pa.array(out[4], _SPANS), "kept": pa.array([k.decode("utf-8", "ignore") for k in out[5]], pa.string()) if as_text else pa.array(out[5], pa.binary())})
 
     return run
 
 
-def whole_characters(kept: Column) -> Column:
-    """The kept bytes as text, without characters of which a part was cut off."""
-
-    @F.pandas_udf("string")
-    def decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return decoded(kept)
-
-
-def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None, as_text: bool = False) -> DataFrame:
     """Removes each byte covered by a ``threshold``-byte string that also starts earlier.
 
     Earlier: in a smaller doc_id, or before it in the same document; overlaps count. Texts are UTF-8 bytes, matches
     never cross documents and are judged on the input. ``threshold`` is at least 64; ``start`` (default: half of it)
     is the first prefix length of the doubling. Returns doc_id, sub (0; numbers rows that share a doc_id), n_bytes,
-    n_removed, spans (maximal removed runs of bytes, [start, end)) and kept (binary: a cut may split a character).
+    n_removed, spans (maximal removed runs of bytes, [start, end)) and kept (binary, as a cut may split a
+    character; with ``as_text`` a string without such broken characters).
 
     Null or empty text: no bytes. Null doc_id: sorts before all others. Rows that share a doc_id are documents of
     their own, in order of their texts. An empty table gives no rows; extra columns are ignored.
@@ -324,4 +313,4 @@ def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None
         h += step
     single = staged(deals(ranks, _repeats(parts)), "suffix-positions")
     tune(docs.sparkSession)
-    return deal(sent.unionByName(ranked.filter(f"kind = {DONE}"), allowMissingColumns=True).unionByName(single), _cut(threshold), OUT)
+    return deal(sent.unionByName(ranked.filter(f"kind = {DONE}"), allowMissingColumns=True).unionByName(single), _cut(threshold, as_text), OUT.format("string" if as_text else "binary"))
