@@ -10,8 +10,8 @@ component must have been reached.
 
 Texts of equal words are one class from the start. Signatures are banded; every class is first compared with the
 least class of its buckets, and the links make components. Only where a bucket then still holds several components are
-pairs between these compared by signature, in blocks, and those that can reach the threshold verified. So a group of
-copies costs one comparison each. Every link is verified by the exact overlap of the multisets.
+pairs between these compared, in blocks, first by signature and then by their words, and one link for each member kept.
+So a group of copies costs a comparison each, and no list of all pairs is ever made. Every link is verified by the exact overlap of the multisets.
 """
 
 from __future__ import annotations
@@ -163,43 +163,86 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, parts: int) -
     placed = pairs.join(n, "lead").select("lead", "key", F.pmod(F.xxhash64("key"), "n").alias("block"))
     wanted = placed.unionByName(placed.select("lead", F.col("lead").alias("key"), "block").distinct())
     found = wanted.join(texts.select("key", "text"), "key").withColumn("part", F.pmod(F.xxhash64("lead", "block"), F.lit(parts)).cast("int"))
-    return found.groupBy("part").applyInArrow(_verify(threshold), "a long, b long, similarity double")
-
-
-def _compare(least: float):
+    return deal(found, _verify(threshold), "a long, b long, similarity double")
+
+
+class _Lot:
+    """Members of a bucket whose texts are compared, each read when it's first needed."""
+
+    def __init__(self, table: pa.Table):
+        self.key, self.label, self.side = (table.column(c).to_numpy() for c in ("key", "label", "side"))
+        self.band = table.column("band")[0].as_py()
+        self.signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(self.key), -1)
+        self.buckets = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(self.key), -1)
+        self.texts = table.column("text")
+        self.root = {x: x for x in self.label.tolist()}
+        self.elements: np.ndarray | None = None
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def read(self) -> None:
+        """Numbers the shingles of all members, a shingle of weight w as w elements."""
+        found = []
+        for t in self.texts.to_pylist():
+            raw = unsqueezed(t)
+            _, s, w, _ = shingles(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+            level = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            found.append(mix(np.repeat(s, w) + mix(level.astype(np.uint64))))
+        self.size = np.array([len(x) for x in found])
+        self.start = np.cumsum(self.size) - self.size
+        values, self.elements = np.unique(np.concatenate(found), return_inverse=True)
+        self.flag = np.zeros(len(values), np.int32)
+
+    def links(self, least: float, threshold: float) -> Iterator[tuple[int, int, float]]:
+        left, right = np.flatnonzero(self.side <= 1), np.flatnonzero(self.side >= 1)
+        for a in left:
+            b = right[(self.side[right] != self.side[a]) | (self.key[right] > self.key[a])]
+            b = b[(self.buckets[b] == self.buckets[a]).argmax(1) == self.band]
+            b = b[(self.signature[b] == self.signature[a]).mean(1) >= least]
+            mine = self.find(int(self.label[a]))
+            b = b[[self.find(int(x)) != mine for x in self.label[b]]] if len(b) else b
+            if not len(b):
+                continue
+            if self.elements is None:
+                self.read()
+            own = self.elements[self.start[a] : self.start[a] + self.size[a]]
+            self.flag[own] = 1
+            common = np.add.reduceat(self.flag[self.elements], self.start)
+            self.flag[own] = 0
+            similarity = common / np.maximum(self.size + self.size[a] - common, 1)
+            for k in b[similarity[b] >= threshold]:
+                x, y = self.find(int(self.label[a])), self.find(int(self.label[k]))
+                if x != y:
+                    self.root[max(x, y)] = min(x, y)
+                    yield int(self.key[a]), int(self.key[k]), float(similarity[k])
+
+
+def _compare(least: float, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("lot", "ascending")])
-        lots = table.column("lot").to_numpy()
-        cuts = np.flatnonzero(np.diff(lots)) + 1
-        lead, key = [], []
-        for i in np.split(np.arange(table.num_rows), cuts):
-            t = table.take(pa.array(i))
-            keys, label, side = (t.column(c).to_numpy() for c in ("key", "label", "side"))
-            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(keys), -1)
-            left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-            for a in left:
-                b = right[label[right] != label[a]]
-                b = b[(side[b] != side[a]) | (keys[b] > keys[a])]
-                if len(b):
-                    b = b[(sig[b] == sig[a]).mean(1) >= least]
-                    lead += [min(keys[a], k) for k in keys[b]]
-                    key += [max(keys[a], k) for k in keys[b]]
-        return pa.table({"lead": pa.array(lead, pa.int64()), "key": pa.array(key, pa.int64())})
+        cuts = np.flatnonzero(np.diff(table.column("lot").to_numpy())) + 1
+        found = [x for i in np.split(np.arange(table.num_rows), cuts) for x in _Lot(table.take(pa.array(i))).links(least, threshold)]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64()), "similarity": pa.array([x[2] for x in found], pa.float64())})
 
     return run
 
 
-def across(members: DataFrame, least: float, parts: int) -> DataFrame:
-    """Pairs (lead, key) of different labels in the same bucket whose signatures agree in a share of at least ``least``.
+def across(members: DataFrame, texts: DataFrame, least: float, threshold: float, parts: int) -> DataFrame:
+    """(a, b, similarity): links that connect different labels of the same bucket.
 
-    members: bucket, key, label, signature. Only buckets with several labels are looked at; large ones in blocks.
+    members: bucket, band, key, label. Only buckets with several labels are looked at; large ones in blocks, each pair
+    of blocks a lot of its own. A pair is compared in its first common bucket, if its signatures agree in a share of at
+    least ``least``, and is verified there; a lot sends one link at most for each of its members.
     """
     several = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / BLOCK).alias("n")).filter("l0 < l1")
     mine = members.join(several.select("bucket", "n"), "bucket").withColumn("i", F.pmod(F.xxhash64("key"), "n"))
     lots = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    lots = lots.select("key", "label", "signature", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("lot"), F.when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0).otherwise(2).alias("side"))
-    lots = lots.withColumn("part", F.pmod("lot", F.lit(parts)).cast("int"))
-    return lots.groupBy("part").applyInArrow(_compare(least), "lead long, key long").distinct()
+    lots = lots.select("key", "label", "band", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("lot"), F.when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0).otherwise(2).alias("side"))
+    found = lots.join(texts, "key").withColumn("part", F.pmod("lot", F.lit(parts)).cast("int"))
+    return deal(found, _compare(least, threshold), "a long, b long, similarity double")
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -224,20 +267,18 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = members.filter("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "key")).alias("least"))
     first = staged(first.select("f1", "f2", F.col("least.key").alias("lead"), F.col("least.id").alias("lead_id")), "near-first")
     classes = signed.join(first.select(F.col("lead").alias("key")), "key", "left_semi")
-    texts = staged(classes.select("key", "buckets", "signature", "text"), "near-classes")
+    classes = staged(classes.select("key", "buckets"), "near-classes")
 
-    banded = texts.select("key", F.explode("buckets").alias("bucket"))
+    banded = classes.select("key", F.posexplode("buckets").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
     shared = staged(banded.join(full, "bucket"), "near-buckets")
     pairs = shared.filter("key > lead").groupBy("key").agg(F.min("lead").alias("lead"))
-    links = staged(verified(pairs, texts, threshold, parts), "near-links")
+    links = staged(verified(pairs, signed, threshold, parts), "near-links")
     labels = components(links, "near-labels")
 
     least = threshold - 5 * (threshold * (1 - threshold) / SIZE) ** 0.5
-    labelled = shared.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("bucket")
-    labelled = labelled.join(mixed, "bucket", "left_semi").join(texts.select("key", "signature"), "key")
-    more = verified(across(labelled, least, parts), texts, threshold, parts)
+    labelled = shared.select("bucket", "band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    more = across(labelled, signed.select("key", "signature", "buckets", "text"), least, threshold, parts)
     labels = components(links.unionByName(more), "near-final").withColumnRenamed("node", "lead")
 
     grouped = members.join(first, ["f1", "f2"], "left").join(labels, "lead", "left").select("key", "id", "lead_id", F.coalesce("label", "lead", "key").alias("label"))
