@@ -33,7 +33,13 @@ def split_words(text: ColumnLike) -> Column:
 def ngrams(tokens: ColumnLike, low: int, high: int) -> Column:
     """Space-joined n-grams of low to high tokens, shorter ones first."""
     t = _col(tokens)
-    each = [F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i, n=n: F.concat_ws(" ", F.slice(t, i, n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+    each, last = [], t
+    for n in range(1, high + 1):
+        if n > 1:
+            left = F.greatest(F.size(t) - n + 1, F.lit(0))
+            last = F.zip_with(F.slice(last, F.lit(1), left), F.slice(t, F.lit(n), left), lambda a, b: F.concat_ws(" ", a, b))
+        if n >= low:
+            each.append(last)
     return F.concat(*each)
 
 

@@ -1 +1,142 @@
-"""Plans."""
+"""Topics of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import split_words, words
+from ..operators import topics as ops
+from ..operators.lexstats import term_counts, terms
+from .catalog import SPEECH, T1, plan, speeches, tokens
+
+#: Prefixes that occur in the test tables, in place of the health ones.
+PREFIXES = ("und", "que", "ment")
+
+
+def _counts(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    return term_counts(terms(speeches(spark, sf_dir), words("text"), *by), *by)
+
+
+_CTFIDF = f"""{tokens(T1)}, c AS (SELECT topic, term, count(*) AS n FROM tok WHERE topic >= 0 GROUP BY ALL), size AS (SELECT topic, sum(n) AS size FROM c GROUP BY topic), f AS (SELECT term, sum(n) AS f FROM c GROUP BY term),
+s AS (SELECT c.topic, c.term, n, round(n / size * ln(1 + (SELECT avg(size) FROM size) / f), 8) AS score FROM c JOIN size ON c.topic = size.topic JOIN f ON c.term = f.term),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM s)"""
+
+
+def _top(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return ops.top_words(_counts(spark, sf_dir, "topic").filter("topic >= 0"), n)
+
+
+@plan(f"WITH {_CTFIDF} SELECT topic, CAST(rank AS INTEGER) AS rank, term, score FROM r WHERE rank <= 10")
+def ctfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, 10).select("topic", "rank", "term", "score")
+
+
+_KEYS = "(" + " OR ".join(f"starts_with(strip_accents(lower(term)), '{p}')" for p in PREFIXES) + ")"
+
+
+@plan(f"WITH {_CTFIDF} SELECT topic, bool_or({_KEYS}) AS by_keywords FROM r WHERE rank <= 20 GROUP BY topic")
+def topic_keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.keyword_topics(_top(spark, sf_dir, 20), PREFIXES)
+
+
+_SETS = f"""{_CTFIDF}, kw AS (SELECT topic, bool_or({_KEYS}) AS by_keywords, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 10) AS top_words FROM r WHERE rank <= 20 GROUP BY topic),
+sim AS (SELECT topic, round(avg(CAST(n_chars AS DOUBLE)) / 10000, 6) AS similarity FROM speech WHERE topic >= 0 GROUP BY topic),
+sets AS (SELECT kw.topic, top_words, similarity, by_keywords, similarity >= (SELECT greatest(0.05, quantile_cont(similarity, 0.85)) FROM sim) AS by_semantic FROM kw JOIN sim ON kw.topic = sim.topic)"""
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with both kinds of flags; mean length stands in for similarity to a query."""
+    sim = speeches(spark, sf_dir).filter("topic >= 0").groupBy("topic").agg(F.round(F.avg(F.col("n_chars").cast("double")) / 10000, 6).alias("similarity"))
+    sem = ops.above_threshold(sim, "similarity", 0.05)
+    w = _top(spark, sf_dir, 20)
+    return ops.topic_phrases(w.filter("rank <= 10")).join(ops.keyword_topics(w, PREFIXES), "topic").join(sem, "topic")
+
+
+@plan(f"WITH {_SETS} SELECT topic, by_keywords, by_semantic, by_keywords OR by_semantic AS in_union, by_keywords AND by_semantic AS in_intersection FROM sets")
+def health_topic_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = {"in_union": F.col("by_keywords") | F.col("by_semantic"), "in_intersection": F.col("by_keywords") & F.col("by_semantic")}
+    return _sets(spark, sf_dir).select("topic", "by_keywords", "by_semantic", *[c.alias(n) for n, c in both.items()])
+
+
+@plan(f"WITH {_SETS} SELECT topic, top_words, similarity, by_keywords, by_semantic FROM sets")
+def topic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets(spark, sf_dir).select("topic", "top_words", "similarity", "by_keywords", "by_semantic")
+
+
+@plan(
+    f"""WITH {tokens(T1)}, c AS (SELECT topic, term, count(*) AS n FROM tok WHERE topic >= 0 GROUP BY ALL), size AS (SELECT topic, sum(n) AS size FROM c GROUP BY topic),
+idf AS (SELECT term, ln(1 + (SELECT avg(size) FROM size) / sum(n)) AS idf FROM c GROUP BY term),
+t AS (SELECT c.topic, c.term, n / size * idf AS w FROM c JOIN size ON c.topic = size.topic JOIN idf ON c.term = idf.term),
+d AS (SELECT doc_id, tok.term, count(*) * any_value(idf) AS w FROM tok JOIN idf ON tok.term = idf.term WHERE topic = -1 GROUP BY ALL),
+tn AS (SELECT topic, sqrt(sum(w * w)) AS n FROM t GROUP BY topic), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id),
+s AS (SELECT d.doc_id, t.topic, round(sum(d.w * t.w) / (any_value(dn.n) * any_value(tn.n)), 6) AS similarity FROM d JOIN t ON d.term = t.term JOIN dn ON d.doc_id = dn.doc_id JOIN tn ON t.topic = tn.topic GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, topic) AS k FROM s)
+SELECT o.doc_id, -1 AS topic, CASE WHEN similarity >= 0.4 THEN b.topic ELSE -1 END AS new_topic, coalesce(similarity, 0) AS similarity FROM (SELECT DISTINCT doc_id FROM tok WHERE topic = -1) o LEFT JOIN b ON o.doc_id = b.doc_id AND k = 1"""
+)
+def ctfidf_reassign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.reassign_by_words(_counts(spark, sf_dir, "doc_id", "topic"))
+
+
+@plan(f"WITH {SPEECH} SELECT count(*) AS n_docs, count(*) FILTER (topic = -1) AS n_outliers, round(avg(CAST(topic = -1 AS DOUBLE)), 6) AS outlier_rate FROM speech")
+def outlier_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.overview(speeches(spark, sf_dir))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speeches(spark, sf_dir).select("doc_id", split_words("text").alias("tokens"))
+
+
+def _lda(spark: SparkSession, sf_dir: str, k: int = 20):
+    return ops.fit_lda(_tokens(spark, sf_dir), k)
+
+
+@plan()
+def lda_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the vocabulary and bound on the log perplexity of a fit of 20 topics."""
+    model = _lda(spark, sf_dir)
+    counts = model.stages[0].transform(_tokens(spark, sf_dir))
+    return spark.createDataFrame([(20, len(model.stages[0].vocabulary), float(model.stages[1].logPerplexity(counts)))], "k int, vocabulary int, log_perplexity double")
+
+
+@plan()
+def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.lda_topics(_lda(spark, sf_dir))
+
+
+@plan()
+def lda_doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.lda_documents(_lda(spark, sf_dir), _tokens(spark, sf_dir))
+
+
+@plan()
+def lda_health_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ops.flag_by_topics(ops.lda_documents(_lda(spark, sf_dir), _tokens(spark, sf_dir)), (10, 11, 13))
+    return got.select("doc_id", "p_health", "if_health")
+
+
+@plan()
+def lda_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean coherence of fits with 10 to 30 topics."""
+    t = _tokens(spark, sf_dir)
+    doc_terms = t.select("doc_id", F.explode("tokens").alias("term")).distinct()
+    out = None
+    for k in range(10, 31, 10):
+        model = ops.fit_lda(t, k, iterations=5)
+        vocabulary = spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "i int, term string")
+        ranks = model.stages[1].describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i")).join(vocabulary, "i")
+        one = ops.umass_coherence(ranks, doc_terms).agg(F.avg("coherence").alias("coherence")).select(F.lit(k).alias("k"), "coherence")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@plan()
+def topic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.fit_topics(ops.hashed_vectors(_tokens(spark, sf_dir)))
+
+
+@plan()
+def embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return ops.hashed_vectors(_tokens(spark, sf_dir)).select("doc_id", vector_to_array("vector").alias("embedding"))
