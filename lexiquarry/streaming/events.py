@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, kind, n, total) by event time; a stream drops what is later than ``late``."""
-    windows = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind)
+    windows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind)
     return windows.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
