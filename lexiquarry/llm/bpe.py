@@ -13,8 +13,7 @@ the arcs it has lost and the merge at which it lost them, and r is the state of
 looked up by walking these versions; looked-up arcs are kept in a transition table.
 
 A word is encoded by running the automaton over its bytes: a table of byte transitions lists the tokens that start
-at each place, and the state reached at each place is the last token of that prefix, which is unique. Decoding emits
-the labels of the arcs.
+at a place, and the arcs of the state say which of them can follow. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -47,7 +46,7 @@ NEWER = (
 _NEW = regex.compile(f"[{NEWER}]")
 _OLD_WORDS = regex.compile(WORDS.pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[{NEWER}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])").replace(r" ?\p{L}+", rf" ?(?:(?![{NEWER}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{NEWER}])\p{{N}})+"))
 #: Words kept with their codes by a worker; when there are more, it starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 _NEVER = 1 << 62
 
 
@@ -111,26 +110,48 @@ class Automaton:
         return found
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one word."""
-        n = len(word)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        follow, token, arc = self.next.get, self.token, self.arc
-        for i in range(n):
-            if (state := last[i]) < 0 and i:
-                continue
-            node, j = 0, i
+        """The tokens of one word: longest first, and back where the state has no such arc.
+
+        The tokens that lead to a place are unique, so a place without a way on is dead for good.
+        """
+        n, pos = len(word), 0
+        follow, token, table, arc = self.next.get, self.token, self.table, self.arc
+        out: list[int] = []
+        starts: list[int] = []
+        stack: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        while pos < n:
+            node, j, options = 0, pos, []
             while j < n and (node := follow(node << 8 | word[j], -1)) >= 0:
                 j += 1
-                t = token[node]
-                if t >= 0 and last[j] < 0 and (not i or arc(state, t)):
-                    last[j], start[j] = t, i
-        out = []
-        while n:
-            if last[n] < 0:
-                raise ValueError(f"no token for byte {word[n - 1]}")
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+                if (t := token[node]) >= 0:
+                    options.append((j, t))
+            stack.append(options)
+            while True:
+                options = stack[-1]
+                state = out[-1] if out else -1
+                while options:
+                    end, t = options.pop()
+                    if end in dead:
+                        continue
+                    if state >= 0:
+                        found = table.get(state << 32 | t)
+                        if not (arc(state, t) if found is None else found):
+                            continue
+                    out.append(t)
+                    starts.append(pos)
+                    pos = end
+                    break
+                else:
+                    dead.add(pos)
+                    stack.pop()
+                    if not out:
+                        raise ValueError(f"no tokens for {word!r}")
+                    out.pop()
+                    pos = starts.pop()
+                    continue
+                break
+        return out
 
 
 class Tokenizer:
@@ -147,7 +168,8 @@ class Tokenizer:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.automaton = Automaton(base, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], labels)
         special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
-        self.label = labels | {i: t.encode() for t, i in special.items()}
+        known = labels | {i: t.encode() for t, i in special.items()}
+        self.label = [known.get(i, b"") for i in range(max(known) + 1)]
         self.special = special
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.words = _Words(self.automaton)
