@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .common import crc_mod, documents
 from .decontaminate import decontaminate
-from . import kneser_ney
+from . import kneser_ney, oracles
 from .embedding_dedup import embedding_dedup
 from .html_extract import extract
 from .language_id import identify, train
@@ -79,4 +79,9 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_block_lstm, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op9_itq, op10_bagminhash)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_rabin_karp": oracles.SUBSTRINGS,
+    "op8_prefix_join": oracles.BENCHMARK,
+    "op9_itq": oracles.VECTORS,
+    "op10_bagminhash": oracles.NEAR,
+}
