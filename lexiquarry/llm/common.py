@@ -61,7 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
 
         found = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
         spark.sparkContext.setCheckpointDir(found)
-    return found if ":/" in found else f"file://{found}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
