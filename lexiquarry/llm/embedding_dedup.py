@@ -1,10 +1,12 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 Iterative quantisation (Gong and Lazebnik 2011) learns, on a bounded sample, rotations after which the signs of the
-coordinates are balanced binary codes close to the vectors. ``CODES`` rotations from different starts give a long code.
-It is cut into substrings, each the key of one Hamming table; every vector is in every table and probes it with its own
-substring and with those one bit away, so any pair is found that differs by one bit at most in some substring. Found
-pairs whose whole codes differ in too many bits for the threshold are dropped, the rest reranked by the cosine of the
+coordinates are balanced binary codes close to the vectors. Rotations from different starts give a long code. It is cut
+into substrings, each the key of one Hamming table; every vector is in every table and probes it with its own substring
+and with those one bit away, so any pair is found that differs by one bit at most in some substring. The width of
+substrings is the cheapest for the number of vectors, and there are as many rotations and tables as that width needs to
+find ``RECALL`` of pairs at the threshold, measured on pairs made from a sample of the vectors. Found pairs whose codes by
+the first ``CODES`` rotations differ in too many bits for the threshold are dropped, the rest reranked by the cosine of the
 original vectors in double precision.
 
 Equal vectors are one class from the start; links are found between classes.
@@ -13,7 +15,9 @@ Equal vectors are one class from the start; links are found between classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log2, pi
+from dataclasses import dataclass
+from itertools import count, islice
+from math import acos, ceil, pi
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +33,98 @@ SAMPLE = 4000
 ITERATIONS = 30
 #: Links at the threshold differ in so many standard deviations more bits than expected at most.
 SLACK = 5.0
+#: Share of the pairs at the threshold that the tables have to find.
+RECALL = 0.999
+WIDEST = 24
 
 
-def learn(x: np.ndarray, bits: int, codes: int = CODES, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection of dim x (codes * bits)) of unit vectors."""
+def rotations(x: np.ndarray, bits: int, iterations: int = ITERATIONS) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """The mean of unit vectors, and without end projections of dim x bits."""
     mean = x.mean(0)
     c = x - mean
     _, vectors = np.linalg.eigh(c.T @ c)
     top = vectors[:, ::-1][:, :bits]
     v = c @ top
+
+    def run() -> Iterator[np.ndarray]:
+        for k in count(1):
+            r = np.linalg.qr(np.random.default_rng(k).standard_normal((top.shape[1], top.shape[1])))[0]
+            for _ in range(iterations):
+                u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (u @ w).T
+            yield top @ r
+
+    return mean, run()
+
+
+def boundary(x: np.ndarray, threshold: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is the threshold: from each towards any direction, and towards another one."""
     out = []
-    for k in range(codes):
-        r = np.linalg.qr(np.random.default_rng(k + 1).standard_normal((top.shape[1], top.shape[1])))[0]
-        for _ in range(iterations):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        out.append(top @ r)
-    return mean, np.concatenate(out, 1)
+    for other in (np.random.default_rng(seed).standard_normal(x.shape), np.roll(x, 1, 0)):
+        away = other - np.einsum("ij,ij->i", other, x)[:, None] * x
+        length = np.linalg.norm(away, axis=1)
+        ok = length > 1e-6
+        out.append((x[ok], threshold * x[ok] + max(0.0, 1 - threshold**2) ** 0.5 * away[ok] / length[ok, None]))
+    return [p for p in out if len(p[0])]
+
+
+@dataclass
+class Tables:
+    """How vectors are encoded, the substrings' width and number, and in how many bits of ``coded`` links may differ."""
+
+    mean: np.ndarray
+    projection: np.ndarray
+    width: int
+    tables: int
+    coded: int
+    most: int
+
+
+def _needed(apart: list[np.ndarray], width: int, recall: float) -> int | None:
+    """The least number of tables that find so many pairs of each kind, from the bits in which these differ."""
+    worst = 0
+    for d in apart:
+        tables = d.shape[1] // width
+        hit = d[:, : tables * width].reshape(len(d), tables, width).sum(2, dtype=np.uint8) <= 1
+        share = np.logical_or.accumulate(hit, 1).mean(0)
+        enough = np.flatnonzero(share >= recall)
+        if not len(enough):
+            return None
+        worst = max(worst, int(enough[0]) + 1)
+    return worst
+
+
+def fit(x: np.ndarray, n: int, threshold: float, recall: float = RECALL) -> Tables:
+    """Tables for n vectors of which x is a sample.
+
+    Rotations are added until a width finds enough and twice as many rotations don't allow a much cheaper one. The cost of
+    a vector: the table rows that it makes, and the other vectors that it meets if all substrings are as frequent.
+    """
+    known, fresh = (x[:SAMPLE], x[SAMPLE:]) if len(x) >= 2 * SAMPLE else (x, x)
+    mean, more = rotations(known, min(64, x.shape[1]))
+    pairs = boundary(fresh, threshold)
+    projection, apart, best = [], [np.zeros((len(a), 0), bool) for a, _ in pairs], None
+    codes = CODES
+    while True:
+        new = np.concatenate(list(islice(more, codes - len(projection))), 1)
+        bits = new.shape[1] // (codes - len(projection))
+        projection += np.split(new, codes - len(projection), 1)
+        apart = [np.concatenate([d, encode(a, mean, new) != encode(b, mean, new)], 1) for d, (a, b) in zip(apart, pairs, strict=True)]
+        last = best
+        for width in range(1, min(bits, WIDEST) + 1):
+            tables = _needed(apart, width, recall)
+            if tables:
+                cost = tables * (1 + width / 2 + (1 + width) * n / 2**width)
+                best = min(best or (cost, width, tables), (cost, width, tables))
+        if best and last and best[0] > 0.8 * last[0]:
+            break
+        codes *= 2
+    _, width, tables = best
+    coded = CODES * bits
+    far = acos(threshold) / pi
+    most = min(coded, ceil(coded * far + SLACK * (coded * far * (1 - far)) ** 0.5))
+    used = max(coded, width * tables)
+    return Tables(mean, np.concatenate(projection, 1)[:, :used], width, tables, coded, most)
 
 
 def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -79,34 +158,34 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": b.column("id"), "key": b.column("key"), "vector": pa.array(out, pa.binary())})
 
 
-def _indexed(mean: np.ndarray, projection: np.ndarray, width: int, tables: int):
+def _indexed(how: Tables, probes: bool):
+    """Rows of the vectors' own substrings, and with ``probes`` those one bit more."""
+    width = how.width
     weight = (1 << np.arange(width)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = encode(_unit(_matrix(b.column("vector"))), mean, projection)
+            bits = encode(_unit(_matrix(b.column("vector"))), how.mean, how.projection)
             n = len(bits)
-            whole = np.zeros((n, -(-bits.shape[1] // 64) * 64), np.uint8)
-            whole[:, : bits.shape[1]] = bits
+            whole = np.zeros((n, -(-how.coded // 64) * 64), np.uint8)
+            whole[:, : how.coded] = bits[:, : how.coded]
             words = np.packbits(whole, axis=1, bitorder="little").view(np.int64)
             code = pa.ListArray.from_arrays(pa.array(np.arange(0, n * words.shape[1] + 1, words.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(words).ravel()))
             key = b.column("key").to_numpy()
-            who, at, own = [], [], []
-            for t in range(tables):
+            who, at = [], []
+            for t in range(how.tables):
                 part = bits[:, t * width : (t + 1) * width]
-                value = part.astype(np.int64) @ weight[: part.shape[1]] + (t << 40)
+                value = part.astype(np.int64) @ weight + (t << 40)
                 who.append(np.arange(n))
                 at.append(value)
-                own.append(np.ones(n, bool))
-                for k in range(part.shape[1]):
+                for k in range(width if probes else 0):
                     zero = np.flatnonzero(part[:, k] == 0)
                     who.append(zero)
                     at.append(value[zero] + weight[k])
-                    own.append(np.zeros(len(zero), bool))
             who = np.concatenate(who)
-            yield pa.record_batch({"key": pa.array(key[who]), "code": code.take(pa.array(who)), "bucket": pa.array(np.concatenate(at)), "own": pa.array(np.concatenate(own))})
+            yield pa.record_batch({"key": pa.array(key[who]), "code": code.take(pa.array(who)), "bucket": pa.array(np.concatenate(at))})
 
     return run
 
@@ -126,20 +205,13 @@ def _rerank(threshold: float):
 def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cosine) of the classes (key, vector) of one dimension."""
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("vector").collect()
-    x = _unit(np.frombuffer(b"".join(bytes(r["vector"]) for r in sample), np.float64).reshape(len(sample), -1))
-    bits = min(64, x.shape[1])
-    mean, projection = learn(x, bits)
-    width = min(bits, max(8, min(24, round(log2(max(2, n))))))
-    total = projection.shape[1]
-    tables = max(1, total // width)
-    far = acos(threshold) / pi
-    most = min(total, ceil(total * far + SLACK * (total * far * (1 - far)) ** 0.5))
-    rows = staged(classes.select("key", "vector").mapInArrow(_indexed(mean, projection, width, tables), "key long, code array<long>, bucket long, own boolean"), "itq-tables")
-    left = rows.select(F.col("key").alias("a"), F.col("code").alias("ca"), "bucket")
-    right = rows.filter("own").select(F.col("key").alias("b"), F.col("code").alias("cb"), "bucket")
+    if n < 2:
+        return classes.sparkSession.createDataFrame([], "a long, b long, cosine double")
+    sample = classes.orderBy(F.xxhash64("key")).limit(2 * SAMPLE).select("vector").collect()
+    how = fit(_unit(np.frombuffer(b"".join(bytes(r["vector"]) for r in sample), np.float64).reshape(len(sample), -1)), n, threshold)
+    left, right = (classes.select("key", "vector").mapInArrow(_indexed(how, probes), "key long, code array<long>, bucket long").select(F.col("key").alias(c), F.col("code").alias(f"c{c}"), "bucket") for c, probes in (("a", True), ("b", False)))
     apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    found = left.join(right, "bucket").filter((F.col("a") != F.col("b")) & (apart <= most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = left.join(right, "bucket").filter((F.col("a") != F.col("b")) & (apart <= how.most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     va, vb = (classes.select(F.col("key").alias(c), F.col("vector").alias(f"v{c}")) for c in "ab")
     return found.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_rerank(threshold), "a long, b long, cosine double")
 

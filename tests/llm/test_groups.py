@@ -10,7 +10,7 @@ import pytest
 
 from lexiquarry.llm import kneser_ney
 from lexiquarry.llm.components import components
-from lexiquarry.llm.embedding_dedup import embedding_dedup
+from lexiquarry.llm.embedding_dedup import embedding_dedup, encode, fit
 from lexiquarry.llm.near_dedup import across, bag_min_hash, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +124,33 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(table.limit(0)).count() == 0
 
 
+def at_threshold(n, dims, mean, seed, cosine=0.95):
+    """Unit vectors whose mean has this squared length, and others at the cosine from them."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, dims))
+    x[:, 0] = 0
+    x *= (1 - mean) ** 0.5 / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = mean**0.5
+    away = r.standard_normal((n, dims))
+    away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+    return x, cosine * x + (1 - cosine**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+
+
+def hits(how, a, b):
+    """Which pairs meet in a table, and which pass the cutoff."""
+    apart = encode(a, how.mean, how.projection) != encode(b, how.mean, how.projection)
+    parts = apart[:, : how.width * how.tables].reshape(len(a), how.tables, how.width)
+    return (parts.sum(2) <= 1).any(1), apart[:, : how.coded].sum(1) <= how.most
+
+
+def test_tables_find_pairs_at_the_threshold_at_any_size():
+    x, _ = at_threshold(8000, 64, 0.0, 1)
+    a, b = at_threshold(4000, 64, 0.0, 2)
+    for n in (10_000, 1_000_000, 100_000_000):
+        met, near = hits(fit(x, n, 0.95), a, b)
+        assert (met & near).mean() > 0.99
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_kneser_ney(rows, order):
     r = random.Random(order)
