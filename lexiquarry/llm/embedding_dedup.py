@@ -6,7 +6,7 @@ into substrings, each the key of one Hamming table; every vector is in every tab
 and with those one bit away, so any pair is found that differs by one bit at most in some substring. The width of
 substrings is the cheapest for the number of vectors, and there are as many rotations and tables as that width needs to
 find ``RECALL`` of pairs at the threshold, measured on pairs made from a sample of the vectors. Found pairs whose codes by
-the first ``CODES`` rotations differ in too many bits for the threshold are dropped, the rest reranked by the cosine of the
+the first ``CODES`` rotations differ in more bits than such pairs do are dropped, the rest reranked by the cosine of the
 original vectors in double precision.
 
 Equal vectors are one class from the start; links are found between classes.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count, islice
-from math import acos, ceil, pi
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from .components import components
 CODES = 2
 SAMPLE = 4000
 ITERATIONS = 30
-#: Links at the threshold differ in so many standard deviations more bits than expected at most.
+#: Links at the threshold differ in so many standard deviations more bits than on average at most.
 SLACK = 5.0
 #: Share of the pairs at the threshold that the tables have to find.
 RECALL = 0.999
@@ -121,8 +121,8 @@ def fit(x: np.ndarray, n: int, threshold: float, recall: float = RECALL) -> Tabl
         codes *= 2
     _, width, tables = best
     coded = CODES * bits
-    far = acos(threshold) / pi
-    most = min(coded, ceil(coded * far + SLACK * (coded * far * (1 - far)) ** 0.5))
+    far = [d[:, :coded].sum(1) for d in apart]
+    most = min(coded, max(ceil(f.mean() + SLACK * max(f.std(), 1.0)) for f in far))
     used = max(coded, width * tables)
     return Tables(mean, np.concatenate(projection, 1)[:, :used], width, tables, coded, most)
 

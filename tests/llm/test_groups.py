@@ -151,6 +151,22 @@ def test_tables_find_pairs_at_the_threshold_at_any_size():
         assert (met & near).mean() > 0.99
 
 
+@pytest.mark.parametrize("dims", [64, 256])
+def test_tables_allow_for_a_common_mean(dims):
+    how = fit(at_threshold(8000, dims, 0.7, 1)[0], 100_000, 0.95)
+    met, near = hits(how, *at_threshold(4000, dims, 0.7, 2))
+    assert near.mean() > 0.999 and (met & near).mean() > 0.99
+
+
+def test_embedding_dedup_with_a_common_mean(spark):
+    x, y = at_threshold(600, 96, 0.7, 5, 0.951)
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *y])]
+    n = sum(r.n_links for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    v = np.concatenate([x, y])
+    true = ((v @ v.T >= 0.95).sum() - len(v)).item()
+    assert 0.99 * true <= n <= true
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_kneser_ney(rows, order):
     r = random.Random(order)
