@@ -80,10 +80,14 @@ def nearest_centroid(vectors: DataFrame, centres: DataFrame, key: str = "vec_id"
     return best.select(key, (-F.col("best.neg")).alias("new_topic"), F.col("best.s").alias("similarity"))
 
 
-def fit_lda(tokens: DataFrame, k: int = 20, iterations: int = 10, seed: int = 42, min_df: int = 10, max_df: float = 0.5, words: int = 100_000) -> PipelineModel:
-    """Counts and online LDA with symmetric priors 1/k over (doc_id, tokens)."""
+def fit_lda(tokens: DataFrame, k: int = 20, passes: int = 10, seed: int = 42, min_df: int = 10, max_df: float = 0.5, words: int = 100_000) -> PipelineModel:
+    """Counts and online LDA with symmetric priors 1/k over (doc_id, tokens).
+
+    Each iteration draws as many documents as there are, so a fit reads each ``passes`` times on average; Spark draws
+    with replacement, so a document is missed by all of 10 with a probability of 5e-5.
+    """
     counts = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=min_df, maxDF=max_df, vocabSize=words)
-    lda = LDA(featuresCol="counts", k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k, topicDistributionCol="topics")
+    lda = LDA(featuresCol="counts", k=k, maxIter=passes, subsamplingRate=1.0, seed=seed, optimizer="online", docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k, topicDistributionCol="topics")
     return Pipeline(stages=[counts, lda]).fit(tokens)
 
 

@@ -122,7 +122,7 @@ def lda_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_terms = t.select("doc_id", F.explode("tokens").alias("term")).distinct()
     out = None
     for k in range(10, 31, 5):
-        model = ops.fit_lda(t, k, iterations=5)
+        model = ops.fit_lda(t, k)
         vocabulary = spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "i int, term string")
         ranks = model.stages[1].describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i")).join(vocabulary, "i")
         one = ops.umass_coherence(ranks, doc_terms).agg(F.avg("coherence").alias("coherence")).select(F.lit(k).alias("k"), "coherence")

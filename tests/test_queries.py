@@ -43,6 +43,17 @@ def test_lda_distributions(spark):
         assert abs(sum(p) - 1) < 1e-6 and max(p) == r["p_max"]
 
 
+def test_lda_reads_the_documents_ten_times(spark, monkeypatch):
+    from lexiquarry.plans import topics
+
+    fits, real = [], topics.ops.fit_lda
+    monkeypatch.setattr(topics.ops, "fit_lda", lambda *a, **k: fits.append(real(*a, **k)) or fits[-1])
+    for name in ("lda_topics", "lda_coherence"):
+        _registry().QUERIES[name](spark, SF)
+    assert len(fits) == 6
+    assert all(m.stages[1].getSubsamplingRate() * m.stages[1].getMaxIter() == 10 for m in fits)
+
+
 def test_csv_round_trip(spark):
     a = _registry().QUERIES["scan_csv"](spark, SF).collect()
     b = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()
