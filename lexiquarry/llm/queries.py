@@ -28,7 +28,7 @@ def bpe_file() -> str:
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(crc_mod(5) == 1, F.lit(False))
-    model = kneser_ney.train(docs.filter(~held_out))
+    model = kneser_ney.train(docs.filter(~held_out), 3)
     got = kneser_ney.score(docs.withColumn("held_out", held_out), model)
     return got.select("row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -167,6 +167,15 @@ def test_embedding_dedup_with_a_common_mean(spark):
     assert 0.99 * true <= n <= true
 
 
+def test_kneser_ney_query_trains_order_3(spark, monkeypatch):
+    from lexiquarry.llm import queries
+
+    models, real = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda *a: models.append(real(*a)) or models[-1])
+    queries.op1_kneser_ney(spark, "/root/testdata/sf0.001")
+    assert [m.order for m in models] == [3]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_kneser_ney(rows, order):
     r = random.Random(order)
