@@ -191,7 +191,7 @@ UNION ALL SELECT 'tfidf', 'all', term, s FROM (SELECT term, round(m, 6) AS s FRO
 UNION ALL SELECT 'distinctive', side, term, log_odds FROM ({_DISTINCT})"""
 )
 def pairwise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left before and after the cutoff: frequent terms, TF-IDF and distinctive terms."""
+    """Left before and after the cutoff, both together (``pairwise_reports`` has all pairs and each side): frequent terms, TF-IDF and distinctive terms."""
     long, kept, n = _kept(spark, sf_dir, "side3 = 'Left'")
     counts = ops.two_sides(ops.term_counts(long, "period").join(kept.select("term"), "term", "left_semi"), "period", "pre", "post")
     frequent = ops.top(kept, "n", 30).select(F.lit("frequency").alias("report"), F.lit("all").alias("side"), "term", F.col("n").cast("double").alias("score"))
@@ -207,6 +207,49 @@ def logodds_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = [("Left vs Right, pre", "Left", "pre", "Right", "pre"), ("Left vs Right, post", "Left", "post", "Right", "post"), ("Left, pre vs post", "Left", "pre", "Left", "post"), ("Right, pre vs post", "Right", "pre", "Right", "post")]
+_ROLES = [(name, role, side, period) for name, sa, pa, sb, pb in _PAIRS for role, side, period in (("a", sa, pa), ("b", sb, pb))]
+_REPORTS = f"""{tokens(T2)}, {_STOP}, roles(comparison, side, side3, period) AS (VALUES {', '.join(str(r) for r in _ROLES)}),
+docs AS (SELECT roles.comparison, roles.side, doc_id FROM speech JOIN roles ON speech.side3 = roles.side3 AND speech.period = roles.period),
+mine AS (SELECT comparison, side, doc_id, term, count(*) AS tf FROM docs JOIN tok USING (doc_id) WHERE term NOT IN (SELECT term FROM stops) GROUP BY ALL),
+nd AS (SELECT comparison, side, count(*) AS n_docs FROM docs GROUP BY ALL), ndp AS (SELECT comparison, sum(n_docs) AS n_docs FROM nd GROUP BY ALL),
+kept AS (SELECT comparison, side, term, sum(tf) AS n, count(*) AS df, any_value(n_docs) AS n_docs FROM mine JOIN nd USING (comparison, side) GROUP BY ALL HAVING count(*) >= 5 AND count(*) <= 0.95 * any_value(n_docs)),
+w AS (SELECT comparison, side, doc_id, term, tf * (ln((1 + n_docs) / (1 + df)) + 1) AS w, n_docs FROM mine JOIN kept USING (comparison, side, term)),
+u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY comparison, side, doc_id)) AS u FROM w),
+mean AS (SELECT comparison, side, term, round(sum(u) / any_value(n_docs), 6) AS m FROM u GROUP BY ALL),
+sides AS (SELECT comparison, term, CAST(sum(CASE WHEN side = 'a' THEN tf ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN side = 'b' THEN tf ELSE 0 END) AS BIGINT) AS b
+  FROM mine JOIN ndp USING (comparison) GROUP BY ALL HAVING count(*) >= 5 AND count(*) <= 0.95 * any_value(n_docs)), {log_odds_cte('sides', 'comparison', '1.0')},
+d AS (SELECT comparison, CASE WHEN log_odds > 0 THEN 'a' ELSE 'b' END AS side, term, round(-log_odds, 6) AS s FROM z WHERE log_odds <> 0),
+r AS (SELECT 'frequency' AS report, comparison, side, term, CAST(n AS DOUBLE) AS score, row_number() OVER (PARTITION BY comparison, side ORDER BY n DESC, term) AS k FROM kept
+  UNION ALL SELECT 'tfidf', comparison, side, term, m, row_number() OVER (PARTITION BY comparison, side ORDER BY m DESC, term) FROM mean
+  UNION ALL SELECT 'distinctive', comparison, side, term, s, row_number() OVER (PARTITION BY comparison, side ORDER BY abs(s) DESC, term) FROM d)"""
+
+
+@plan(f"WITH {_REPORTS} SELECT report, comparison, side, term, score FROM r WHERE k <= 30")
+def pairwise_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all four pairs: frequent terms and TF-IDF of each side, and distinctive terms."""
+    group, pair = ["side3", "period"], "comparison"
+    roles = F.broadcast(spark.createDataFrame(_ROLES, "comparison string, side string, side3 string, period string"))
+    s = speeches(spark, sf_dir).filter(F.col("side3").isin("Left", "Right"))
+    n_docs = F.broadcast(s.groupBy(*group).agg(F.count("*").alias("n_docs")))
+    tf = ops.term_counts(ops.without(ops.terms(s, latin_words("text"), *group, "doc_id"), F.broadcast(_words(spark, STOPS))), *group, "doc_id")
+    stats = tf.groupBy(*group, "term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).join(n_docs, group)
+    usual = (F.col("df") >= 5) & (F.col("df") <= 0.95 * F.col("n_docs"))
+    kept = stats.filter(usual)
+    weighted = tf.select(*group, "doc_id", "term", F.col("n").alias("tf")).join(kept, [*group, "term"]).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
+    unit = weighted.groupBy(*group, "doc_id", "n_docs").agg(F.collect_list(F.struct("term", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    unit = unit.select(*group, "n_docs", "length", F.inline("ws"))
+    means = unit.groupBy(*group, "term").agg(F.round(F.sum(F.col("w") / F.col("length")) / F.first("n_docs"), 6).alias("score"))
+    both = stats.join(roles, group).join(F.broadcast(n_docs.join(roles, group).groupBy(pair).agg(F.sum("n_docs").alias("all_docs"))), pair)
+    pick = lambda v: F.sum(F.when(F.col("side") == v, F.col("n")).otherwise(0))
+    both = both.groupBy(pair, "term").agg(pick("a").alias("a"), pick("b").alias("b"), F.sum("df").alias("df"), F.first("all_docs").alias("n_docs")).filter(usual)
+    odds = ops.log_odds(both.select(pair, "term", "a", "b"), 1.0, pair).filter("log_odds <> 0")
+    odds = odds.select(pair, F.when(F.col("log_odds") > 0, "a").otherwise("b").alias("side"), "term", F.round(-F.col("log_odds"), 6).alias("score")).withColumn("size", F.abs("score"))
+    report = lambda name, df: df.select(F.lit(name).alias("report"), pair, "side", "term", "score")
+    frequent = report("frequency", ops.ranked(kept.withColumn("score", F.col("n").cast("double")), 30, *group, score="score").join(roles, group))
+    tfidf = report("tfidf", ops.ranked(means, 30, *group, score="score").join(roles, group))
+    return frequent.unionByName(tfidf).unionByName(report("distinctive", ops.ranked(odds, 30, pair, "side", score="size")))
+
+
 _PAIR_CTE = f"""counts AS (SELECT side3, period, term, count(*) AS n FROM tok WHERE side3 IN ('Left', 'Right') GROUP BY ALL),
 pairs(comparison, sa, pa, sb, pb) AS (VALUES {', '.join(str(p) for p in _PAIRS)}),
 sides AS (SELECT comparison, term, CAST(sum(CASE WHEN side3 = sa AND period = pa THEN n ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN side3 = sb AND period = pb THEN n ELSE 0 END) AS BIGINT) AS b
@@ -216,8 +259,7 @@ sides AS (SELECT comparison, term, CAST(sum(CASE WHEN side3 = sa AND period = pa
 def _four(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass: counts by side and period, joined with the four comparisons."""
     counts = ops.term_counts(_long(spark, sf_dir).filter(F.col("side3").isin("Left", "Right")), "side3", "period")
-    roles = [(name, role, side, period) for name, sa, pa, sb, pb in _PAIRS for role, side, period in (("a", sa, pa), ("b", sb, pb))]
-    pairs = spark.createDataFrame(roles, "comparison string, role string, side3 string, period string")
+    pairs = spark.createDataFrame(_ROLES, "comparison string, role string, side3 string, period string")
     return ops.log_odds(ops.two_sides(counts.join(F.broadcast(pairs), ["side3", "period"]), "role", "a", "b", "comparison"), 0.01, "comparison")
 
 

@@ -54,6 +54,11 @@ def test_lda_reads_the_documents_ten_times(spark, monkeypatch):
     assert all(m.stages[1].getSubsamplingRate() * m.stages[1].getMaxIter() == 10 for m in fits)
 
 
+def test_reports_of_all_pairs_and_sides(spark):
+    rows = _registry().QUERIES["pairwise_reports"](spark, SF).collect()
+    assert len({(r.report, r.comparison, r.side) for r in rows}) == 3 * 4 * 2
+
+
 def test_csv_round_trip(spark):
     a = _registry().QUERIES["scan_csv"](spark, SF).collect()
     b = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()
