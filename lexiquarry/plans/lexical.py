@@ -362,6 +362,17 @@ def polarization_equalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("quarter", F.round("polarization_score", 6).alias("polarization_score"))
 
 
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents of both sides, the largest quarter, its sizes before and after, and its sample of the smallest's sizes."""
+    s = speeches(spark, sf_dir).filter(F.col("side3").isin("Left", "Right"))
+    n = resample.targets(s)
+    big = n.orderBy(F.desc("total"), "quarter").limit(1).select("quarter", "n_left", "n_right")
+    small = n.orderBy("total", "quarter").limit(1).select(F.col("quarter").alias("quarter_small"), F.col("n_left").alias("sl"), F.col("n_right").alias("sr"))
+    want = big.crossJoin(small).withColumn("l", F.least("n_left", "sl")).withColumn("r", F.least("n_right", "sr"))
+    wanted = want.select("quarter", F.explode(F.create_map(F.lit("Left"), "l", F.lit("Right"), "r")).alias("side3", "wanted"))
+    return s, big, want, resample.take(s, wanted, "quarter", "side3")
+
+
 @plan(
     f"""WITH {tokens(T1)}, {_TARGETS}, big AS (SELECT * FROM n ORDER BY n_left + n_right DESC, quarter LIMIT 1), small AS (SELECT * FROM n ORDER BY n_left + n_right, quarter LIMIT 1),
 want AS (SELECT big.quarter, least(big.n_left, small.n_left) AS l, least(big.n_right, small.n_right) AS r, big.n_left, big.n_right, small.quarter AS quarter_small FROM big, small),
@@ -372,13 +383,8 @@ FROM want JOIN pol o ON o.quarter = want.quarter JOIN pol e ON e.quarter = want.
 )
 def downsample_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest quarter sampled down to the sides of the smallest."""
-    s = speeches(spark, sf_dir).filter(F.col("side3").isin("Left", "Right"))
-    n = resample.targets(s)
-    big = n.orderBy(F.desc("total"), "quarter").limit(1).select("quarter", "n_left", "n_right")
-    small = n.orderBy("total", "quarter").limit(1).select(F.col("quarter").alias("quarter_small"), F.col("n_left").alias("sl"), F.col("n_right").alias("sr"))
-    want = big.crossJoin(small).withColumn("l", F.least("n_left", "sl")).withColumn("r", F.least("n_right", "sr"))
-    wanted = want.select("quarter", F.explode(F.create_map(F.lit("Left"), "l", F.lit("Right"), "r")).alias("side3", "wanted"))
-    down = ops.polarization(_counts(resample.take(s, wanted, "quarter", "side3")))
+    s, big, want, taken = _pair(spark, sf_dir)
+    down = ops.polarization(_counts(taken))
     whole = ops.polarization(_counts(s.join(big.select("quarter"), "quarter", "left_semi")))
     got = want.join(whole, "quarter").join(down.withColumnRenamed("polarization_score", "down"), "quarter")
     return got.select(F.col("quarter").alias("quarter_big"), "quarter_small", F.round("polarization_score", 6).alias("original_polarization"), F.round("down", 6).alias("downsampled_polarization"), F.col("n_left").alias("left_big_original_n"), F.col("n_right").alias("right_big_original_n"), F.col("l").alias("left_big_downsample_n"), F.col("r").alias("right_big_downsample_n"))
@@ -400,3 +406,13 @@ def polarization_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The equal-size sample's p-values, shuffled over Left and Right, and whether they are below 0.05."""
     counts = _per_document(resample.equalized(speeches(spark, sf_dir)))
     return resample.permutation_test(counts, ops.polarization(counts)).withColumn("significant", F.col("p_value") < 0.05)
+
+
+@plan()
+def downsample_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-values of the largest quarter, shuffled over all its documents, and of its sample of the smallest's sizes."""
+    _, big, want, taken = _pair(spark, sf_dir)
+    whole = _per_document(speeches(spark, sf_dir).join(big.select("quarter"), "quarter", "left_semi"))
+    p = lambda counts, name: resample.permutation_test(counts, ops.polarization(counts)).select("quarter", F.col("p_value").alias(name))
+    got = want.join(p(whole, "original_p_value"), "quarter", "left").join(p(_per_document(taken), "downsampled_p_value"), "quarter", "left")
+    return got.select(F.col("quarter").alias("quarter_big"), "quarter_small", "original_p_value", "downsampled_p_value")

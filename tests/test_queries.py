@@ -59,6 +59,14 @@ def test_reports_of_all_pairs_and_sides(spark):
     assert len({(r.report, r.comparison, r.side) for r in rows}) == 3 * 4 * 2
 
 
+def test_downsampled_p_values(spark):
+    q = _registry().QUERIES
+    (got,), (pair,) = q["downsample_pvalues"](spark, SF).collect(), q["downsample_pair"](spark, SF).collect()
+    assert (got.quarter_big, got.quarter_small) == (pair.quarter_big, pair.quarter_small)
+    assert got.original_p_value == {r.quarter: r.p_value for r in q["permutation_pvalue"](spark, SF).collect()}[got.quarter_big]
+    assert 0 <= got.downsampled_p_value <= 1
+
+
 def test_csv_round_trip(spark):
     a = _registry().QUERIES["scan_csv"](spark, SF).collect()
     b = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()
