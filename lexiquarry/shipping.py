@@ -16,8 +16,8 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's modules to the executors, once for each application, unless PYTHONPATH has them."""
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _sent:
+    """Sends the package's modules to the executors, once for each application."""
+    if spark.sparkContext.applicationId in _sent:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="lexiquarry-"), "lexiquarry.zip")
     with zipfile.ZipFile(path, "w") as z:
