@@ -20,7 +20,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Stands for a null doc_id inside packed rows; it sorts first.
 NULL_ID = -(2**63)
@@ -54,9 +53,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
@@ -86,12 +87,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Frees a query's shuffle files at its end; if they are asked for again, Spark makes them again.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write are freed at its end, so disk holds those of one step at a time.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before else spark.conf.unset(CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def free(*done: DataFrame) -> None:
+    """Deletes staged tables of which all that is needed has been staged again."""
+    for df in done:
+        drop_path(df.sparkSession, df.staged_path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,50 +128,87 @@ def crc_mod(n: int, col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def _repeats(ids: DataFrame) -> tuple[int, int, int, int]:
+    """Of (id, b): rows, most rows of an id, sum of b, rows of NULL_ID."""
+    each = ids.groupBy("id").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    got = each.agg(F.sum("n"), F.max("n"), F.sum("b"), F.max(F.when(F.col("id") == NULL_ID, F.col("n")))).first()
+    return tuple(x or 0 for x in got)
+
+
 class Sized:
     """(id, sub, text as binary) of a table, with its bytes and rows.
 
-    ``id`` is doc_id (NULL_ID for null). ``sub`` is 0 where doc_ids are unique; else it numbers the rows that share a
-    doc_id, in order of their texts, so that each row is a document of its own.
+    ``id`` is doc_id (NULL_ID for null, so a doc_id of -2**63 is taken for null). ``sub`` is 0 where doc_ids are unique;
+    else it ascends over the rows that share a doc_id, in order of their texts, so that each row is a document of its
+    own. For that the table is sorted over all tasks and staged, so no task has to hold the rows of one id. ``unique``
+    says that ids are known to be so.
     """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, unique: bool = False):
         t = texts(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("text").cast("binary").alias("text"))
         tune(docs.sparkSession)
-        ids = t.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
-        n, most, total = ids.agg(F.sum("n"), F.max("n"), F.sum("b")).first()
-        self.rows, self.bytes = n or 0, total or 0
-        if (most or 0) > 1:
-            w = Window.partitionBy("id").orderBy("text")
-            self.df = t.select("id", F.row_number().over(w).cast("long").alias("sub"), "text")
+        if unique:
+            self.rows, self.bytes = (x or 0 for x in t.agg(F.count("*"), F.sum(F.octet_length("text"))).first())
+            most = 1
+        else:
+            self.rows, most, self.bytes, _ = _repeats(t.select("id", F.octet_length("text").alias("b")))
+        if most > 1:
+            self.df = staged(t.orderBy("id", "text").select("id", (F.monotonically_increasing_id() + 1).alias("sub"), "text"), "numbered")
         else:
             self.df = t.select("id", F.lit(0).cast("long").alias("sub"), "text")
 
-    def parts(self, part_bytes: int, least: int = 64) -> int:
+    def parts(self, part_bytes: int, least: int = 24) -> int:
         return max(least, math.ceil(self.bytes / part_bytes))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns (_id, _sub) by which Sized tells its rows apart."""
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    most = out.groupBy("_id").count().agg(F.max("count")).first()[0] or 0
-    if most > 1:
-        w = Window.partitionBy("_id").orderBy(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-        return out.withColumn("_sub", F.row_number().over(w).cast("long"))
-    return out.withColumn("_sub", F.lit(0).cast("long"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the rows of ``docs`` as a struct, each under a doc_id that is its own.
+
+    Where doc_ids are null or repeated, new ones number the rows in order of doc_id and text.
+    """
+    t = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, most, _, nulls = _repeats(t.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.lit(0).alias("b")))
+    if most <= 1 and not nulls:
+        return t
+    order = t.orderBy(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")).cast("binary"))
+    return staged(order.select("row", F.monotonically_increasing_id().alias("doc_id"), "text"), "keyed")
 
 
-def deal(df: DataFrame, func: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Brings the packed rows of each ``part`` together. A part's size is bounded by how its number was chosen."""
+#: Partitions of a shuffle of packed rows at most; beyond it a task works through several parts, one after the other.
+MOST_PARTITIONS = 20_000
 
 
+def deal(df: DataFrame, func: Callable[[pa.Table], pa.Table], schema: str, parts: int) -> DataFrame:
+    """Brings the packed rows of each of ``parts`` parts together. A part's size is bounded by how its number was chosen."""
+
     def run(table: pa.Table) -> pa.Table:
         try:
             return func(table)
         finally:
             trim()
 
-    return df.groupBy("part").applyInArrow(run, schema)
+    return df.repartition(min(parts, MOST_PARTITIONS), "part").groupBy("part").applyInArrow(run, schema)
+
+
+#: A key with more than one of so many rows is joined apart; so there are at most so many of these keys.
+HOT = 1024
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one short row at most for a key, whatever share of ``left`` a key has.
+
+    Keys with more than 1/HOT of the rows of ``left`` are at most HOT, so their rows of ``right`` are broadcast, and those
+    of ``left`` stay where they are; the others meet by a shuffle. ``left`` is read three times: give a staged table.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    hot = [r[0] for r in counts.filter((F.col("n") * HOT > total) & (F.col("n") > 100) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(x,) for x in hot], left.select(key).schema))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    some = left.join(keys, key, "left_semi").join(few, key, how)
+    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(some)
 
 
 def doc_id_array(ids: np.ndarray) -> pa.Array:
@@ -342,27 +400,71 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple
     return np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
 
 
+#: The first k bytes of a lane.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _lane_keys(nth: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((nth.astype(np.uint64) + np.uint64(1)) * np.uint64(BASES[0]))
+
+
+_FIRST_LANE = _lane_keys(np.zeros(1))[0]
+
+
+def _lane_sums(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: int = 0) -> np.ndarray:
+    """Of each word the sum of its 8-byte lanes, each scrambled with its place, which is ``first`` and on."""
+    buffer = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer, strides=(1,))
+    key = _lane_keys(np.array([first]))[0] if first else _FIRST_LANE
+    out = mix((lanes[start] & _MASKS[np.minimum(size, 8)]) ^ key)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        at = np.cumsum(more) - more
+        nth = np.arange(more.sum()) - np.repeat(at, more) + 1
+        left = np.repeat(size[long], more) - 8 * nth
+        v = lanes[np.repeat(start[long], more) + 8 * nth] & _MASKS[np.minimum(left, 8)]
+        with np.errstate(over="ignore"):
+            out[long] += np.add.reduceat(mix(v ^ _lane_keys(nth + first)), at)
+    return out
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by the words' bytes; worked through in pieces, so memory doesn't follow the data."""
+    """A 64-bit hash of each word, by the words' bytes; worked through in pieces, so memory doesn't follow the data.
+
+    Lanes are scrambled one by one and summed: no polynomial, of which a power of two as the modulus would make long words
+    of a certain build collide under any base.
+    """
     out = np.empty(len(start), np.uint64)
+    size = end - start
     i = 0
     while i < len(start):
         lo = start[i]
         j = max(i + 1, int(np.searchsorted(end, lo + PIECE, "right")))
         hi = end[j - 1]
-        if hi - lo > 4 * PIECE:  # a single huge word
+        if j == i + 1 and hi - lo > PIECE:  # a single huge word
             acc = np.uint64(0)
-            for k in range(lo, hi, PIECE):
-                r = Rolling(BYTE_VALUES[data[k : min(hi, k + PIECE)]], BASES[0])
-                with np.errstate(over="ignore"):
-                    acc = mix(acc * np.uint64(BASES[1]) + r.sum[-1])
-            out[i:j] = acc
+            with np.errstate(over="ignore"):
+                for k in range(int(lo), int(hi), PIECE):
+                    n = min(int(hi), k + PIECE) - k
+                    acc += _lane_sums(data[k : k + n], np.zeros(1, np.int64), np.array([n]), (k - int(lo)) >> 3)[0]
+            out[i] = acc
         else:
-            r = Rolling(BYTE_VALUES[data[lo:hi]], BASES[0])
-            out[i:j] = r.of(start[i:j] - lo, end[i:j] - lo)
+            out[i:j] = _lane_sums(data[lo:hi], start[i:j] - lo, size[i:j])
         i = j
     with np.errstate(over="ignore"):
-        return mix(out + (end - start).astype(np.uint64) * np.uint64(BASES[1]))
+        return mix(out + size.astype(np.uint64) * np.uint64(BASES[1]))
+
+
+def sequence_hashes(hashes: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each stretch between ``bounds`` of a sequence of hashes: each scrambled with its place, summed."""
+    n = np.diff(bounds)
+    nth = np.arange(len(hashes)) - np.repeat(bounds[:-1], n)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(hashes ^ _lane_keys(nth + seed * PIECE)), out=total[1:])
+        return mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64) * np.uint64(BASES[1]) + np.uint64(seed))
 
 
 def first_of(keys: np.ndarray) -> np.ndarray:

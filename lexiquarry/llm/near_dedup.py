@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, SPACE, Rolling, Sized, binary, deal, mix, staged, trim, tune, unsqueezed, word_bounds, word_hashes
+from .common import BASES, SPACE, Rolling, Sized, binary, deal, mix, sequence_hashes, staged, trim, tune, unsqueezed, word_bounds, word_hashes
 from .components import components
 from .decontaminate import LOWER
 
@@ -44,7 +44,7 @@ def shingles(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(off) - 1
     h = word_hashes(data, start, end)
     bounds = np.searchsorted(doc, np.arange(n + 1))
-    whole = [mix(Rolling(mix(h + np.uint64(k)), b).of(bounds[:-1], bounds[1:]) + np.uint64(k) + np.diff(bounds).astype(np.uint64)) for k, b in enumerate(BASES)]
+    whole = [sequence_hashes(h, bounds, k + 1) for k in range(2)]
     r = Rolling(h, BASES[0])
     at = np.flatnonzero(doc[: max(0, len(doc) - WIDTH + 1)] == doc[WIDTH - 1 :]) if len(doc) >= WIDTH else np.zeros(0, np.int64)
     s_doc, s = doc[at], mix(r.of(at, at + WIDTH))
@@ -163,7 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, parts: int) -
     placed = pairs.join(n, "lead").select("lead", "key", F.pmod(F.xxhash64("key"), "n").alias("block"))
     wanted = placed.unionByName(placed.select("lead", F.col("lead").alias("key"), "block").distinct())
     found = wanted.join(texts.select("key", "text"), "key").withColumn("part", F.pmod(F.xxhash64("lead", "block"), F.lit(parts)).cast("int"))
-    return deal(found, _verify(threshold), "a long, b long, similarity double")
+    return deal(found, _verify(threshold), "a long, b long, similarity double", parts)
 
 
 class _Lot:
@@ -242,7 +242,7 @@ def across(members: DataFrame, texts: DataFrame, least: float, threshold: float,
     lots = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     lots = lots.select("key", "label", "band", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("lot"), F.when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0).otherwise(2).alias("side"))
     found = lots.join(texts, "key").withColumn("part", F.pmod("lot", F.lit(parts)).cast("int"))
-    return deal(found, _compare(least, threshold), "a long, b long, similarity double")
+    return deal(found, _compare(least, threshold), "a long, b long, similarity double", parts)
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

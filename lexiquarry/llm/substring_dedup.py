@@ -101,7 +101,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     sized = Sized(docs)
     parts = sized.parts(PART_BYTES)
     hashed = sized.df.mapInArrow(_hashed(window, parts), packed.SCHEMA)
-    repeats = deal(hashed, _counted(parts), packed.SCHEMA)
+    repeats = deal(hashed, _counted(parts), packed.SCHEMA, parts)
     both = squeezed_texts(sized, parts).unionByName(repeats, allowMissingColumns=True)
     tune(docs.sparkSession)
-    return deal(both, _cut(window), OUT)
+    return deal(both, _cut(window), OUT, parts)

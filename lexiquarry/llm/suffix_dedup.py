@@ -299,7 +299,7 @@ def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None
         raise ValueError(f"threshold must be at least {ANCHOR + 16}")
     sized = Sized(docs)
     parts = sized.parts(PART_BYTES)
-    deals = lambda df, f: deal(df, f, packed.SCHEMA)
+    deals = lambda df, f: deal(df, f, packed.SCHEMA, parts)
     sent = squeezed_texts(sized, parts)
     ranked = staged(deals(sized.df.mapInArrow(_sampled(threshold, parts), packed.SCHEMA), _ranked_runs(parts)), "suffix-runs")
     h = start or -(-threshold // 2)
@@ -313,4 +313,4 @@ def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None
         h += step
     single = staged(deals(ranks, _repeats(parts)), "suffix-positions")
     tune(docs.sparkSession)
-    return deal(sent.unionByName(ranked.filter(f"kind = {DONE}"), allowMissingColumns=True).unionByName(single), _cut(threshold, as_text), OUT.format("string" if as_text else "binary"))
+    return deal(sent.unionByName(ranked.filter(f"kind = {DONE}"), allowMissingColumns=True).unionByName(single), _cut(threshold, as_text), OUT.format("string" if as_text else "binary"), parts)

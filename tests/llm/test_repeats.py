@@ -62,6 +62,12 @@ def test_suffix_dedup(rows, start):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_words_of_equal_build_differ(rows, thue_morse):
+    head = " ".join(f"w{k}" for k in range(19))
+    got = substring_dedup(rows([(k, f"{head} {w}") for k, w in enumerate(thue_morse)])).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(20, 0)] * 2
+
+
 def test_empty_tables(rows):
     assert substring_dedup(rows([])).count() == 0
     assert suffix_dedup(rows([])).count() == 0
