@@ -1,39 +1,43 @@
 """LM scoring: an interpolated modified Kneser-Ney model, counted in Spark and kept as sorted hash arrays.
 
-Counting. A first pass counts words; their hashes, sorted, number them. A second pass counts n-grams of the highest
-order as tuples of word numbers: a task sends each distinct n-gram once with its count, dealt by the n-gram's hash.
-A part sums the counts of its n-grams, writes them as an array sorted by hash, and passes on what lower orders need:
-one continuation for each n-gram, dealt by its suffix, and for each context how many n-grams follow it once, twice and
-more often, dealt by the context. So the n-grams of a hot context never meet in one part.
-
-Files. Parts own ranges of hashes, so the parts' files make one sorted array. They lie in the shared folder, are
-replaced as a whole when a task runs again, and are memory-mapped by the workers that score; where the shared folder
-isn't a mounted file system, a worker first copies the files that it needs to its own temporary folder, and removes
-them when it ends.
+Counting. A first pass counts words and numbers them, frequent ones first, so that n-grams pack well as tuples of
+numbers. A second pass counts n-grams of the highest order: a task sends each distinct n-gram once with its count. An
+n-gram goes to the part of its context, which then holds all that follow the context and sums them at once. Where each
+word of the context is frequent (more than ``OFTEN`` times in the corpus) there is no bound for that; such n-grams go to
+the part of their own hash, and the parts' sums for the context meet in a further step. So no part gathers the n-grams
+of a hot context. A part passes one continuation for each n-gram on to the next lower order.
+
+Files. A part writes an array as one file: hashes sorted by bucket, a bucket the prefix of some four of them, of which
+the low 32 bits are stored, with counts of a byte each and a list of the larger ones. Two n-grams are taken for one with
+a probability of 1e-9 at any size. Files lie in the shared folder, are replaced as a whole when a task runs again, and are
+memory-mapped by the workers that score (``MAPPED`` at once at most); where the shared folder isn't a mounted file
+system, workers read them into memory instead, up to ``HELD`` bytes.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Sized, binary, by_part, deal, expand, gathered, mix, new_path, squeeze, staged, tune, word_bounds, word_hashes
+from .common import SPACE, Sized, binary, by_part, deal, expand, free, gathered, mix, new_path, squeeze, staged, tune, word_bounds, word_hashes
 from .decontaminate import LOWER
 
 PART_BYTES = 12 << 20
-#: Hash of the end token, and word numbers of the begin padding and of unknown words.
+#: Hash of the end token, and numbers of the begin padding and of unknown words; words are numbered from FIRST.
 END = np.uint64(0x5BD1E995A3C59AC3)
-BEGIN, UNKNOWN = np.uint32(2**32 - 1), np.uint32(2**32 - 2)
+BEGIN, UNKNOWN, FIRST = 0, 1, 2
+#: A word that occurs more often is frequent; a context with another word is followed by so many n-grams at most.
+OFTEN = 1 << 17
+MAPPED, HELD = 2000, 512 << 20
 ROWS = "part int, kind string, grams binary, counts binary, manifest array<double>"
 FIELDS = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("grams", pa.binary()), ("counts", pa.binary()), ("manifest", pa.list_(pa.float64()))])
 
@@ -52,31 +56,48 @@ def gram_hash(grams: np.ndarray) -> np.ndarray:
     return h
 
 
-def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and the sums of their counts (a column or several)."""
-    if not len(grams):
-        return grams, counts
-    if grams.shape[1] <= 2:
-        key = grams[:, 0].astype(np.uint64)
-        key = key if grams.shape[1] == 1 else key << np.uint64(32) | grams[:, 1]
-        o = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], key[o][1:] != key[o][:-1]]))
-    else:
-        o = np.lexsort(grams.T[::-1])
-        at = np.flatnonzero(np.concatenate([[True], (grams[o][1:] != grams[o][:-1]).any(1)]))
-    return grams[o[at]], np.add.reduceat(counts[o], at, axis=0)
+def summed(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct hashes in order: where each occurs, and the sum of its counts (a column or several)."""
+    if not len(h):
+        return np.zeros(0, np.int64), counts
+    o = np.argsort(h)
+    at = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1]]))
+    return o[at], np.add.reduceat(counts[o], at, axis=0)
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Whole numbers from 0 in columns of equal length, byte by byte: the lowest bytes of a column, then the next."""
+    size = [max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 0 for c in columns]
+    planes = [np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8).T[:n].tobytes() for c, n in zip(columns, size, strict=True)]
+    return bytes(size) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack_columns(b: bytes, n: int) -> list[np.ndarray]:
+    size = b[:n]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[n:]), np.uint8)
+    rows = len(raw) // sum(size) if sum(size) else 0
+    out, at = [], 0
+    for k in size:
+        wide = np.zeros((8, rows), np.uint8)
+        wide[:k] = raw[at : at + k * rows].reshape(k, rows)
+        out.append(np.ascontiguousarray(wide.T).view("<u8").ravel())
+        at += k * rows
+    return out
 
 
-def pack_grams(grams: np.ndarray) -> bytes:
-    """Rows in order; the first column as differences."""
-    first = np.diff(grams[:, 0].astype(np.int64), prepend=0)
-    return squeeze(np.concatenate([first.astype(np.int64).view(np.uint32).reshape(-1, 2)[:, 0], *grams.T[1:]]).astype(np.uint32)) if len(grams) else squeeze(np.zeros(0, np.uint32))
+def pack_grams(grams: np.ndarray, often: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows of word numbers, which of the words are frequent (bits), and counts; the rows get an order that packs well."""
+    o = np.lexsort(grams.T[1::-1])
+    grams = grams[o]
+    return pack_columns(np.diff(grams[:, 0], prepend=np.uint64(0)), *grams.T[1:], often[o], counts[o])
 
 
-def unpack_grams(b: bytes, order: int) -> np.ndarray:
-    cols = expand(b, np.uint32).reshape(order, -1).copy()
-    cols[0] = np.cumsum(cols[0], dtype=np.uint32)
-    return cols.T
+def unpack_grams(packed: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [unpack_columns(b, order + 2) for b in packed]
+    for cols in found:
+        cols[0] = np.cumsum(cols[0], dtype=np.uint64)
+    cols = [np.concatenate([f[k] for f in found]) for k in range(order + 2)]
+    return np.stack(cols[:order], 1), cols[order], cols[order + 1].astype(np.int64)
 
 
 class Tokens:
@@ -95,10 +116,10 @@ class Tokens:
         is_word[ends] = False
         self.hash[is_word] = word_hashes(data, start, end)
 
-    def grams(self, numbers: np.ndarray, order: int) -> np.ndarray:
-        """Rows of the ``order`` word numbers that end at each token; before a text there are BEGINs."""
+    def grams(self, numbers: np.ndarray, order: int, before: int = BEGIN) -> np.ndarray:
+        """Rows of the ``order`` values that end at each token; in front of a text there are ``before``s."""
         nth = np.arange(len(numbers)) - np.repeat(np.cumsum(self.by_text) - self.by_text, self.by_text)
-        out = np.full((len(numbers), order), BEGIN, np.uint32)
+        out = np.full((len(numbers), order), before, np.uint64)
         for k in range(order):
             back = order - 1 - k
             ok = np.flatnonzero(nth >= back)
@@ -106,80 +127,147 @@ class Tokens:
         return out
 
 
+# --- arrays ----------------------------------------------------------------------------------------------------
+
+#: From this value on, a count is in the list of large ones.
+LARGE = 255
+
+
+def _places(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of a hash in its part's array, and the bits that are stored."""
+    g = mix(h ^ np.uint64(0xA0761D6478BD642F))
+    return ((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), g & np.uint64(0xFFFFFFFF)
+
+
+def layout(h: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """The arrays of a file for distinct hashes with values (rows of whole numbers)."""
+    buckets = max(1, len(h) // 4)
+    bucket, low = _places(h, buckets)
+    o = np.argsort(bucket << np.uint64(32) | low)
+    values = values.reshape(len(h), -1)[o]
+    flat = values.ravel()
+    large = np.flatnonzero(flat >= LARGE)
+    offsets = np.searchsorted(bucket[o], np.arange(buckets + 1, dtype=np.uint64))
+    return [np.array([len(h), buckets, values.shape[1], len(large)], np.uint64), large.astype(np.uint64), flat[large].astype(np.float64), offsets.astype(np.uint32), low[o].astype(np.uint32), np.minimum(flat, LARGE).astype(np.uint8)]
+
+
+class Array:
+    """A file of layout(), looked into where it lies."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n, self.buckets, self.width, m = (int(x) for x in raw[:32].view(np.uint64))
+        at = 32
+        out = []
+        for kind, n in ((np.uint64, m), (np.float64, m), (np.uint32, self.buckets + 1), (np.uint32, self.n), (np.uint8, self.n * self.width)):
+            size = n * np.dtype(kind).itemsize
+            out.append(raw[at : at + size].view(kind))
+            at += size
+        self.large, self.values, self.offsets, self.low, self.small = out
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are here, and their values."""
+        bucket, low = _places(h, self.buckets)
+        bucket = bucket.astype(np.int64)
+        at, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
+        place = np.full(len(h), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            have, want = self.low[at[left]], low[left]
+            hit = have == want
+            place[left[hit]] = at[left[hit]]
+            left = left[have < want]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        ok = np.flatnonzero(place >= 0)
+        out = np.zeros((len(h), self.width))
+        flat = place[ok][:, None] * self.width + np.arange(self.width)
+        v = self.small[flat].astype(np.float64)
+        i, j = np.nonzero(v == LARGE)
+        if len(i):
+            v[i, j] = self.values[np.searchsorted(self.large, flat[i, j].astype(np.uint64))]
+        out[ok] = v
+        return ok, out
+
+
+_maps: OrderedDict[str, Array] = OrderedDict()
+
+
 @dataclass
 class Store:
-    """The arrays of a model in a folder."""
+    """The arrays of a model in a folder: w words (count, rank), n n-grams (count), c and C contexts (sum, n-grams seen once, twice, more)."""
 
     folder: str
     parts: int
+    often: int
     sizes: dict[str, list[int]] = field(default_factory=dict)
+    #: Where the numbers of a part's words of a size of count begin, by size and part.
+    first: np.ndarray | None = None
+
+    def write(self, name: str, part: int, h: np.ndarray, values: np.ndarray) -> None:
+        if not len(h):
+            return
+        path, new = f"{self.folder}/{name}-{part}", f"{self.folder}/.{name}-{part}-{uuid.uuid4().hex}"
+        arrays = layout(h, values)
+        if path.startswith("file:"):
+            path, new = ("/" + p.removeprefix("file:").lstrip("/") for p in (path, new))
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(new, "wb") as f:
+                for a in arrays:
+                    a.tofile(f)
+            os.replace(new, path)
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(path)
+            new = fs.FileSystem.from_uri(new)[1]
+            store.create_dir(os.path.dirname(path), recursive=True)
+            with store.open_output_stream(new) as f:
+                for a in arrays:
+                    f.write(a.tobytes())
+            store.move(new, path)
 
-    def write(self, name: str, part: int, keys: np.ndarray, values: np.ndarray) -> None:
-        for kind, a in (("key", keys), ("val", values)):
-            path = f"{self.folder}/{name}-{part}.{kind}"
+    def array(self, name: str, part: int) -> Array:
+        path = f"{self.folder}/{name}-{part}"
+        found = _maps.pop(path, None)
+        if found is None:
             if path.startswith("file:"):
-                path = "/" + path.removeprefix("file:").lstrip("/")
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                a.tofile(new := f"{path}.{uuid.uuid4().hex}")
-                os.replace(new, path)
+                found = Array(np.memmap("/" + path.removeprefix("file:").lstrip("/"), np.uint8, "r"))
             else:
                 from pyarrow import fs
 
-                store, path = fs.FileSystem.from_uri(path)
-                with store.open_output_stream(path) as f:
-                    f.write(a.tobytes())
-
-    def local(self, file: str) -> str:
-        path = f"{self.folder}/{file}"
-        if path.startswith("file:"):
-            return "/" + path.removeprefix("file:").lstrip("/")
-        from pyarrow import fs
-
-        if self.folder not in _copies:
-            _copies[self.folder] = tempfile.mkdtemp(prefix="model-")
-            atexit.register(shutil.rmtree, _copies[self.folder], True)
-        mine = os.path.join(_copies[self.folder], file)
-        if not os.path.exists(mine):
-            fs.copy_files(path, f"file://{mine}")
-        return mine
-
-    def mapped(self, name: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-        found = _maps.get((self.folder, name, part))
-        if found is None:
-            kind, width = VALUES[name[0]]
-            key, val = (np.memmap(self.local(f"{name}-{part}.{k}"), t, "r") for k, t in (("key", np.uint64), ("val", kind)))
-            found = _maps[self.folder, name, part] = (key, val.reshape(-1, width))
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    found = Array(np.frombuffer(f.read(), np.uint8))
+                while _maps and sum(a.small.nbytes + a.low.nbytes for a in _maps.values()) > HELD:
+                    _maps.popitem(last=False)
+        _maps[path] = found
+        if len(_maps) > MAPPED:
+            _maps.popitem(last=False)
         return found
 
-    def find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For keys in order: their places in the whole array (-1: none), and their values (0)."""
-        sizes = self.sizes[name]
-        base = np.concatenate([[0], np.cumsum(sizes)])
-        kind, width = VALUES[name[0]]
-        place, value = np.full(len(keys), -1, np.int64), np.zeros((len(keys), width), kind)
-        part = range_part(keys, self.parts)
-        cuts = np.searchsorted(part, np.arange(self.parts + 1))
-        for p in np.unique(part).tolist():
-            if not sizes[p]:
-                continue
-            mine = slice(cuts[p], cuts[p + 1])
-            have, val = self.mapped(name, p)
-            at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
-            ok = have[at] == keys[mine]
-            place[mine] = np.where(ok, base[p] + at, -1)
-            value[mine] = np.where(ok[:, None], val[at], 0)
-        return place, value
-
-    def lookup(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        each, back = np.unique(keys, return_inverse=True)
-        place, value = self.find(name, each)
-        return place[back], value[back]
-
-
-#: Type and width of an array's values: w words (count), n n-grams (count), c contexts (sum, n-grams seen once, twice, more).
-VALUES = {"w": (np.float64, 1), "n": (np.float32, 1), "c": (np.float32, 4)}
-_maps: dict[tuple[str, str, int], tuple[np.ndarray, np.ndarray]] = {}
-_copies: dict[str, str] = {}
+    def find(self, name: str, h: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+        """The values of hashes, 0 for those that aren't in the array; ``part``: where each is, if not by its own range."""
+        part = range_part(h, self.parts) if part is None else part
+        out = None
+        for p, i in by_part(part):
+            if self.sizes[name][p]:
+                ok, v = self.array(name, p).find(h[i])
+                if out is None:
+                    out = np.zeros((len(h), v.shape[1]))
+                out[i] = v
+        return np.zeros((len(h), 4)) if out is None else out
+
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of words by hash; unknown ones have the count 0."""
+        v = self.find("w", h)
+        count = v[:, 0]
+        rank = sum(v[:, 1 + k] * 256.0**k for k in range(v.shape[1] - 1)).astype(np.int64)
+        number = self.first[_magnitude(count), range_part(h, self.parts)] + rank
+        return np.where(count > 0, number, UNKNOWN).astype(np.uint64), count
+
+
+def _magnitude(count: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(count, 1))[1] - 1
 
 
 def _row(part: int, kind: str, grams: bytes | None, counts: bytes | None, manifest: list | None = None) -> tuple:
@@ -190,12 +278,15 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(FIELDS)], FIELDS)
 
 
+# --- counting --------------------------------------------------------------------------------------------------
+
+
 def _count_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
             h, n = np.unique(Tokens(*binary(b.column("text"))).hash, return_counts=True)
             part = range_part(h, parts)
-            rows = [_row(p, "w", squeeze(h[i]), squeeze(n[i].astype(np.float64))) for p, i in by_part(part)]
+            rows = [_row(p, "w", squeeze(h[i]), pack_columns(n[i])) for p, i in by_part(part)]
             yield from _table(rows).to_batches(max_chunksize=256)
 
     return run
@@ -204,46 +295,91 @@ def _count_words(parts: int):
 def _sum_words(store: Store):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        h, n = (np.concatenate([expand(x, k) for x in table.column(c).to_pylist()]) for c, k in (("grams", np.uint64), ("counts", np.float64)))
-        o = np.argsort(h, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1]]))
-        n = np.add.reduceat(n[o], at)
-        store.write("w", part, h[o][at], n)
-        return _table([_row(part, "w", None, None, [len(at), n.sum()])])
+        h = np.concatenate([expand(x, np.uint64) for x in table.column("grams").to_pylist()])
+        n = np.concatenate([unpack_columns(x, 1)[0] for x in table.column("counts").to_pylist()]).astype(np.int64)
+        at, n = summed(h, n)
+        size = _magnitude(n)
+        each = np.bincount(size, minlength=64)
+        o = np.argsort(size, kind="stable")
+        rank = np.empty(len(n), np.int64)
+        rank[o] = np.arange(len(n)) - np.repeat(np.cumsum(each) - each, each)
+        store.write("w", part, h[at], np.stack([n, *((rank >> 8 * k) & 255 for k in range(5))], 1))
+        return _table([_row(part, "w", None, None, [len(at), float(n.sum()), *each.tolist()])])
 
     return run
 
 
+def _hot(often: np.ndarray, order: int) -> np.ndarray:
+    """Whether each word of an n-gram's context is frequent."""
+    all_of = np.uint64((1 << (order - 1)) - 1)
+    return (often & all_of) == all_of
+
+
+def _gram_parts(grams: np.ndarray, h: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    return np.where(hot, range_part(h, parts), range_part(gram_hash(grams[:, :-1]), parts))
+
+
+def _send(kind: str, grams: np.ndarray, often: np.ndarray, h: np.ndarray, n: np.ndarray, parts: int) -> list[tuple]:
+    part = _gram_parts(grams, h, _hot(often, grams.shape[1]), parts)
+    return [_row(p, kind, pack_grams(grams[i], often[i], n[i]), None) for p, i in by_part(part)]
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as numbers, the first flag the lowest bit."""
+    return (flags.astype(np.uint64) << np.arange(flags.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def _numbered(t: Tokens, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """Number and count of each token's word."""
+    each, back = np.unique(t.hash, return_inverse=True)
+    number, count = store.words(each)
+    return number[back], count[back]
+
+
 def _count_grams(store: Store, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
             t = Tokens(*binary(b.column("text")))
-            grams = t.grams(store.lookup("w", t.hash)[0].astype(np.uint32), order)
-            grams, n = summed(grams, np.ones(len(grams), np.float64))
-            rows = [_row(p, f"n{order}", pack_grams(grams[i]), squeeze(n[i].astype(np.float32))) for p, i in by_part(range_part(gram_hash(grams), store.parts))]
-            yield from _table(rows).to_batches(max_chunksize=256)
+            number, count = _numbered(t, store)
+            grams = t.grams(number, order)
+            h = gram_hash(grams)
+            at, n = summed(h, np.ones(len(h), np.int64))
+            often = _bits(t.grams(count > store.often, order, 1)[at])
+            yield from _table(_send(f"n{order}", grams[at], often, h[at], n, store.parts)).to_batches(max_chunksize=256)
 
     return run
 
 
+def _context_sums(n: np.ndarray) -> np.ndarray:
+    return np.stack([n, n == 1, n == 2, n > 2], 1).astype(np.int64)
+
+
 def _sum_grams(store: Store, order: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        grams = np.concatenate([unpack_grams(x, order) for x in table.column("grams").to_pylist()])
-        n = np.concatenate([expand(x, np.float32) for x in table.column("counts").to_pylist()]).astype(np.float64)
-        grams, n = summed(grams, n)
+        grams, often, n = unpack_grams(table.column("grams").to_pylist(), order)
         h = gram_hash(grams)
-        o = np.argsort(h)
-        store.write(f"n{order}", part, h[o], n[o].astype(np.float32))
-        rows = [_row(part, f"m{order}", None, None, [len(n), n.sum(), *(float((n == k).sum()) for k in (1, 2, 3, 4))])]
+        at, n = summed(h, n)
+        grams, often, h = grams[at], often[at], h[at]
+        store.write(f"n{order}", part, h, n)
+        sizes = [len(n), float(n.sum()), *(float((n == k).sum()) for k in (1, 2, 3, 4))]
+        rows = []
         if order > 1:
-            below = grams[:, 1:]
-            more = np.where(below[:, 0] == BEGIN, n, 1.0) if order > 2 else np.ones(len(n))
-            below, more = summed(below, more)
-            rows += [_row(p, f"n{order - 1}", pack_grams(below[i]), squeeze(more[i].astype(np.float32))) for p, i in by_part(range_part(gram_hash(below), store.parts))]
-            context, s = summed(grams[:, :-1], np.stack([n, n == 1, n == 2, n > 2], 1).astype(np.float64))
-            rows += [_row(p, f"c{order}", pack_grams(context[i]), squeeze(s[i].astype(np.float32).T)) for p, i in by_part(range_part(gram_hash(context), store.parts))]
-        return _table(rows)
+            hot = _hot(often, order)
+            context = gram_hash(grams[:, :-1])
+            i = np.flatnonzero(~hot)
+            first, s = summed(context[i], _context_sums(n[i]))
+            store.write(f"c{order}", part, context[i][first], s)
+            sizes.append(len(first))
+            i = np.flatnonzero(hot)
+            first, s = summed(context[i], _context_sums(n[i]))
+            context = context[i][first]
+            rows += [_row(p, f"C{order}", squeeze(context[j]), pack_columns(*s[j].T)) for p, j in by_part(range_part(context, store.parts))]
+            below, often = grams[:, 1:], often >> np.uint64(1)
+            h = gram_hash(below)
+            at, more = summed(h, np.where(below[:, 0] == BEGIN, n, 1) if order > 2 else np.ones(len(n), np.int64))
+            rows += _send(f"n{order - 1}", below[at], often[at], h[at], more, store.parts)
+        return _table([_row(part, f"m{order}", None, None, sizes), *rows])
 
     return run
 
@@ -254,16 +390,19 @@ def _sum_contexts(store: Store):
         rows = []
         for kind in sorted(set(table.column("kind").to_pylist())):
             mine = [r for r in table.to_pylist() if r["kind"] == kind]
-            context, s = summed(np.concatenate([unpack_grams(r["grams"], int(kind[1:]) - 1) for r in mine]), np.concatenate([expand(r["counts"], np.float32).reshape(4, -1).T for r in mine]).astype(np.float64))
-            h = gram_hash(context)
-            o = np.argsort(h)
-            store.write(kind, part, h[o], s[o].astype(np.float32))
-            rows.append(_row(part, kind, None, None, [len(h)]))
+            h = np.concatenate([expand(r["grams"], np.uint64) for r in mine])
+            s = np.concatenate([np.stack(unpack_columns(r["counts"], 4), 1) for r in mine]).astype(np.int64)
+            at, s = summed(h, s)
+            store.write(kind, part, h[at], s)
+            rows.append(_row(part, kind, None, None, [len(at)]))
         return _table(rows)
 
     return run
 
 
+# --- the model -------------------------------------------------------------------------------------------------
+
+
 @dataclass
 class Model:
     store: Store
@@ -276,19 +415,25 @@ class Model:
     def log10(self, off: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
         """For each text: tokens, known tokens, base score and score."""
         t = Tokens(off, data)
-        n = len(off) - 1
-        place, seen = self.store.lookup("w", t.hash)
-        grams = t.grams(np.where(place < 0, UNKNOWN, place).astype(np.uint32), self.order)
-        base = np.log10((seen[:, 0] + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))
-        uniform = 1.0 / (self.n_words + 1)
+        n, store = len(off) - 1, self.store
+        each, back = np.unique(t.hash, return_inverse=True)
+        number, seen = store.words(each)
+        base = np.log10((seen + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))[back]
         d = self.discounts
-        c = self.store.lookup("n1", gram_hash(grams[:, -1:]))[1][:, 0].astype(np.float64)
-        p = _interpolated(c, np.broadcast_to(self.lowest, (len(c), 4)), d[1], uniform)
+        c = store.find("n1", gram_hash(number[:, None]))[:, 0]
+        p = _interpolated(c, np.broadcast_to(self.lowest, (len(c), 4)), d[1], 1.0 / (self.n_words + 1))[back]
+        number, seen = number[back], seen[back]
+        grams, often = t.grams(number, self.order), t.grams(seen > store.often, self.order, 1)
         for k in range(2, self.order + 1):
             g = grams[:, self.order - k :]
-            c = self.store.lookup(f"n{k}", gram_hash(g))[1][:, 0].astype(np.float64)
-            p = _interpolated(c, self.store.lookup(f"c{k}", gram_hash(g[:, :-1]))[1].astype(np.float64), d[k], p)
-        return {"n_tokens": t.by_text, "n_known": np.bincount(t.doc, seen[:, 0] > 0, n), "base_score": np.bincount(t.doc, base, n), "score": np.bincount(t.doc, np.log10(p), n)}
+            hot = _hot(_bits(often[:, self.order - k :]), k)
+            context, h = gram_hash(g[:, :-1]), gram_hash(g)
+            sums = np.zeros((len(h), 4))
+            for name, i in ((f"c{k}", np.flatnonzero(~hot)), (f"C{k}", np.flatnonzero(hot))):
+                sums[i] = store.find(name, context[i])
+            c = store.find(f"n{k}", h, np.where(hot, range_part(h, store.parts), range_part(context, store.parts)))[:, 0]
+            p = _interpolated(c, sums, d[k], p)
+        return {"n_tokens": t.by_text, "n_known": np.bincount(t.doc, seen > 0, n), "base_score": np.bincount(t.doc, base, n), "score": np.bincount(t.doc, np.log10(p), n)}
 
 
 def _interpolated(c: np.ndarray, context: np.ndarray, d: np.ndarray, lower: np.ndarray | float) -> np.ndarray:
@@ -318,34 +463,43 @@ def _sizes(rows: list[list[float]], parts: int) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+def train(docs: DataFrame, order: int = 3) -> Model:
     """Counts a model of the given order from the texts of ``docs`` (null: empty, which is one end token).
 
     Tokens: A-Z lower-cased, runs of bytes outside 0x20 and 0x09-0x0D, then an end. Repeated rows count again; ids
     aren't used. Without any rows every token has the same probability.
     """
     spark = docs.sparkSession
-    sized = Sized(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    store = Store(new_path(spark, "kneser-ney"), sized.parts(PART_BYTES))
-    counted = deal(sized.df.mapInArrow(_count_words(store.parts), ROWS), _sum_words(store), ROWS)
+    sized = Sized(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"), unique=True)
+    store = Store(new_path(spark, "kneser-ney"), sized.parts(PART_BYTES), OFTEN)
+    counted = deal(sized.df.mapInArrow(_count_words(store.parts), ROWS), _sum_words(store), ROWS, store.parts)
     words = _manifest(counted, "w")
     store.sizes["w"] = _sizes(words, store.parts)
-    if sum(store.sizes["w"]) >= int(UNKNOWN):
-        raise ValueError("more than 2**32 distinct words")
+    each = np.zeros((64, store.parts), np.int64)
+    for r in words:
+        each[:, int(r[0])] = r[3:]
+    descending = each[::-1].ravel()
+    store.first = (FIRST + np.cumsum(descending) - descending).reshape(each.shape)[::-1]
     rows, contexts, d = sized.df.mapInArrow(_count_grams(store, order), ROWS), None, {}
+    held = []
     for k in range(order, 0, -1):
-        done = staged(deal(rows, _sum_grams(store, k), ROWS), f"grams{k}")
+        done = staged(deal(rows, _sum_grams(store, k), ROWS, store.parts), f"grams{k}")
         m = _manifest(done, f"m{k}")
         store.sizes[f"n{k}"] = _sizes(m, store.parts)
-        n = np.array([r[1:] for r in m]).reshape(-1, 6).sum(0)
+        n = np.array([r[1:7] for r in m]).reshape(-1, 6).sum(0)
         d[k] = discounts(n[2:].tolist())
         lowest = np.array([n[1], n[2], n[3], n[0] - n[2] - n[3]])
+        free(*held)
+        held = [done]
         rows = done.filter(F.col("kind") == f"n{k - 1}")
-        mine = done.filter(F.col("kind") == f"c{k}")
-        contexts = mine if contexts is None else contexts.unionByName(mine)
-    found = deal(contexts, _sum_contexts(store), ROWS).collect()
+        if k > 1:
+            store.sizes[f"c{k}"] = _sizes([[r[0], r[7]] for r in m], store.parts)
+            mine = staged(done.filter(F.col("kind") == f"C{k}"), f"contexts{k}")
+            contexts = mine if contexts is None else contexts.unionByName(mine)
+    free(*held)
+    found = deal(contexts, _sum_contexts(store), ROWS, store.parts).collect() if contexts is not None else []
     for k in range(2, order + 1):
-        store.sizes[f"c{k}"] = _sizes([[r["part"], *r["manifest"]] for r in found if r["kind"] == f"c{k}"], store.parts)
+        store.sizes[f"C{k}"] = _sizes([[r["part"], *r["manifest"]] for r in found if r["kind"] == f"C{k}"], store.parts)
     return Model(store, order, int(sum(r[2] for r in words)), sum(store.sizes["w"]), d, lowest)
 
 

@@ -221,3 +221,30 @@ def test_kneser_ney(rows, order):
         assert (x.n_tokens, x.n_known) == (len(s), sum(w in unigrams for w in s))
         assert math.isclose(x.base_score, sum(math.log10((unigrams.get(w, 0) + 0.5) / (total + 0.5 * (v + 1))) for w in s), rel_tol=1e-9)
         assert math.isclose(x.score, sum(math.log10(p(tuple(padded[k : k + order]))) for k in range(len(s))), rel_tol=1e-4)
+
+
+def test_words_of_equal_build_differ(rows, thue_morse):
+    a, b = thue_morse
+    got = kneser_ney.score(rows([(1, a), (2, b)]), kneser_ney.train(rows([(1, a)]), 2)).collect()
+    assert {r.row.doc_id: r.n_known for r in got} == {1: 2, 2: 1}
+    x, y = " ".join(a * 4), " ".join(b * 4)
+    pairs = [(1, a), (2, b), (3, x.replace("b", "c")), (4, y.replace("b", "c"))]
+    got = {r.doc_id: r.copy_of for r in near_dedup(rows(pairs)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_kneser_ney_without_training_texts(rows):
+    model = kneser_ney.train(rows([]), 3)
+    got = kneser_ney.score(rows([(1, "a b"), (2, None)]), model).collect()
+    assert {r.row.doc_id: (r.n_tokens, r.n_known, r.score) for r in got} == {1: (3, 0, 0.0), 2: (1, 0, 0.0)}
+
+
+def test_frequent_contexts_are_summed_over_parts(rows, monkeypatch):
+    r = random.Random(1)
+    docs = rows([(k, " ".join(r.choice("abcdef") for _ in range(50))) for k in range(40)])
+    want = {x.row.doc_id: x.score for x in kneser_ney.score(docs, kneser_ney.train(docs, 3)).collect()}
+    monkeypatch.setattr(kneser_ney, "OFTEN", 330)
+    model = kneser_ney.train(docs, 3)
+    assert sum(model.store.sizes["C2"]) and sum(model.store.sizes["c3"])
+    got = {x.row.doc_id: x.score for x in kneser_ney.score(docs, model).collect()}
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
