@@ -87,7 +87,11 @@ def unpack_columns(b: bytes, n: int) -> list[np.ndarray]:
 
 def pack_grams(grams: np.ndarray, often: np.ndarray, counts: np.ndarray) -> bytes:
     """Rows of word numbers, which of the words are frequent (bits), and counts; the rows get an order that packs well."""
-    o = np.lexsort(grams.T[1::-1])
+    first = grams[:, 0]
+    if grams.shape[1] > 1 and first.max(initial=0) < 1 << 32:
+        o = np.argsort(first << np.uint64(32) | grams[:, 1] & np.uint64(0xFFFFFFFF))
+    else:
+        o = np.argsort(first)
     grams = grams[o]
     return pack_columns(np.diff(grams[:, 0], prepend=np.uint64(0)), *grams.T[1:], often[o], counts[o])
 
@@ -167,20 +171,24 @@ class Array:
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are here, and their values."""
         bucket, low = _places(h, self.buckets)
-        bucket = bucket.astype(np.int64)
-        at, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
-        place = np.full(len(h), -1, np.int64)
+        bucket, low = bucket.view(np.int64), low.astype(np.uint32)
+        at, end = self.offsets[bucket], self.offsets[bucket + 1]
         left = np.flatnonzero(at < end)
+        at, end, low = at[left], end[left], low[left]
+        found, places = [], []
         while len(left):
-            have, want = self.low[at[left]], low[left]
-            hit = have == want
-            place[left[hit]] = at[left[hit]]
-            left = left[have < want]
-            at[left] += 1
-            left = left[at[left] < end[left]]
-        ok = np.flatnonzero(place >= 0)
+            have = self.low[at]
+            hit = np.flatnonzero(have == low)
+            found.append(left[hit])
+            places.append(at[hit])
+            at += 1
+            go = np.flatnonzero((have < low) & (at < end))
+            left, at, end, low = left[go], at[go], end[go], low[go]
         out = np.zeros((len(h), self.width))
-        flat = place[ok][:, None] * self.width + np.arange(self.width)
+        if not found:
+            return np.zeros(0, np.int64), out
+        ok, place = np.concatenate(found), np.concatenate(places).astype(np.int64)
+        flat = place[:, None] * self.width + np.arange(self.width)
         v = self.small[flat].astype(np.float64)
         i, j = np.nonzero(v == LARGE)
         if len(i):
@@ -231,7 +239,7 @@ class Store:
         found = _maps.pop(path, None)
         if found is None:
             if path.startswith("file:"):
-                found = Array(np.memmap("/" + path.removeprefix("file:").lstrip("/"), np.uint8, "r"))
+                found = Array(np.memmap("/" + path.removeprefix("file:").lstrip("/"), np.uint8, "r").view(np.ndarray))
             else:
                 from pyarrow import fs
 

@@ -80,6 +80,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_block_lstm, op3_bpe_automaton, op4_string_kernel, op5_suffix_array, op6_rabin_karp, op7_digest_cache, op8_prefix_join, op9_itq, op10_bagminhash)}
 ORACLES: dict[str, str] = {
+    "op5_suffix_array": oracles.BYTES,
     "op6_rabin_karp": oracles.SUBSTRINGS,
     "op8_prefix_join": oracles.BENCHMARK,
     "op9_itq": oracles.VECTORS,

@@ -1,19 +1,20 @@
-"""Suffix-array dedup: distributed prefix doubling over sampled runs and then over single byte positions.
+"""Suffix-array dedup: distributed prefix doubling over the positions whose windows can repeat.
 
-Sorting a row for each byte would move the corpus some forty times. So positions first go through two coarse ranks:
+Sorting a row for each byte would move the corpus some forty times. So first a proven filter, then the doubling:
 
 1.  Runs. Each ``threshold``-byte window has an anchor: its ``ANCHOR``-byte substring of least hash. Consecutive
     windows with the same anchor are a run, about one for 27 bytes. Equal windows have equal anchors, so a run whose
-    anchor is unique in the corpus holds no repeated window and drops out. Runs of equal bytes get one rank; of each
-    such class the first stays and the others are repeats as a whole.
-2.  Positions. Where an anchor occurs in several different surroundings, the windows of its runs are ranked one by
-    one by prefix doubling. A position's rank is at first a 64-bit code of its next h = ``start`` bytes (as the plain
-    method starts from the codes of single characters). Round by round the pairs (rank at p, rank at p + h) are sorted
-    over all parts and reranked, h doubling, until positions are unique (they drop out) or the prefix reaches
-    ``threshold``. Positions that still share a rank are repeats, but the first.
+    anchor is unique in the corpus holds no repeated window and drops out. Runs of equal bytes have equal ranks at all
+    of their positions, so the first of them carries the ranks of all; the others repeat it as a whole. Where an anchor
+    occurs in different surroundings, only ranks can tell which of the windows are equal.
+2.  Positions. A position's rank is at first a 64-bit code of its next h = ``start`` bytes (as the plain method starts
+    from the codes of single characters). Round by round the pairs (rank at p, rank at p + h) are sorted over all parts
+    and reranked, h doubling, until positions are unique (they drop out) or the prefix reaches ``threshold``: 16, 32, 64,
+    100 bytes. Positions that still share a rank are repeats, but the first.
 
 Each sort is dealt by hash of the pair over parts of bounded size. Every task sends one entry for each distinct key it
-holds, so a string that a third of the documents share doesn't gather in a part.
+holds, so a string that a third of the documents share doesn't gather in a part. Each round is staged and frees the
+shuffle files and the table of the round before.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import packed
-from .common import BASES, BYTE_VALUES, Rolling, Sized, binary, by_part, deal, doc_id_array, expand, first_of, gathered, mix, pack, squeeze, squeezed_texts, staged, tune, unpack, unsqueezed
+from .common import BASES, BYTE_VALUES, Rolling, Sized, binary, by_part, deal, doc_id_array, expand, first_of, free, gathered, mix, pack, squeeze, squeezed_texts, staged, tune, unpack, unsqueezed, word_hashes
 from .packed import DONE, FORCED, OPEN, RANK, STATE, TEXT
 
 PART_BYTES = 12 << 20
@@ -67,7 +68,7 @@ def runs(data: np.ndarray, off: np.ndarray, w: int) -> tuple[np.ndarray, ...]:
             continue
         total = np.cumsum(valid)
         n = np.diff(np.append(total[at] - 1, total[-1]))
-        context = Rolling(values, BASES[1]).of(at, at + n + w - 1)
+        context = word_hashes(seg, at, at + n + w - 1)
         out.append((at + lo, n, kh[mm[at].astype(np.int64)], mix(context ^ mix(n.astype(np.uint64)))))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
@@ -154,6 +155,15 @@ def _pairs(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
         return mix(mix(a + np.uint64(seed)) * np.uint64(BASES[1]) + b)
 
 
+def _codes(data: np.ndarray, at: np.ndarray, h: int) -> np.ndarray:
+    """A 64-bit code of the ``h`` (8 at least) bytes at each place."""
+    lanes = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = np.zeros(len(at), np.uint64)
+    for k in [*range(0, h - 8, 8), h - 8]:
+        out = _pairs(out, lanes[at + k], k)
+    return out
+
+
 def _prefixes(w: int, h: int, step: int, parts: int):
     """The first pairs: codes of h bytes at p and at p + step, for each position p that a round may ask for."""
 
@@ -169,11 +179,10 @@ def _prefixes(w: int, h: int, step: int, parts: int):
             key, aux = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
             for lo in range(0, len(data), PIECE):
                 i = slice(*np.searchsorted(at, [lo, lo + PIECE]))
-                values = BYTE_VALUES[data[lo : lo + PIECE + h + step]]
-                a = at[i] - lo
+                seg, a = data[lo : lo + PIECE + h + step], at[i] - lo
+                x, y = _codes(seg, a, h), _codes(seg, a + step, h)
                 for out, base in ((key, BASES[0]), (aux, BASES[1])):
-                    code = Rolling(values, base)
-                    out[i] = _pairs(code.of(a, a + h), code.of(a + step, a + step + h), base)
+                    out[i] = _pairs(x, y, base)
             found.append((r["id"], r["sub"], at, key, aux))
         if found:
             doc = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
@@ -283,12 +292,21 @@ def _cut(w: int, as_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None, as_text: bool = False) -> DataFrame:
+def doublings(threshold: int, start: int) -> list[int]:
+    """The offsets of the rounds: each doubles the prefix, the last one fills it up."""
+    h, out = start, []
+    while h < threshold:
+        out.append(min(h, threshold - h))
+        h += out[-1]
+    return out
+
+
+def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int = 16, as_text: bool = False) -> DataFrame:
     """Removes each byte covered by a ``threshold``-byte string that also starts earlier.
 
     Earlier: in a smaller doc_id, or before it in the same document; overlaps count. Texts are UTF-8 bytes, matches
-    never cross documents and are judged on the input. ``threshold`` is at least 64; ``start`` (default: half of it)
-    is the first prefix length of the doubling. Returns doc_id, sub (0; numbers rows that share a doc_id), n_bytes,
+    never cross documents and are judged on the input. ``threshold`` is at least 64; ``start`` (8 at least, half
+    of it at most) is the first prefix length of the doubling. Returns doc_id, sub (0; numbers rows that share a doc_id), n_bytes,
     n_removed, spans (maximal removed runs of bytes, [start, end)) and kept (binary, as a cut may split a
     character; with ``as_text`` a string without such broken characters).
 
@@ -297,20 +315,20 @@ def suffix_dedup(docs: DataFrame, threshold: int = 100, start: int | None = None
     """
     if threshold < ANCHOR + 16:
         raise ValueError(f"threshold must be at least {ANCHOR + 16}")
+    if not 8 <= start <= threshold // 2:
+        raise ValueError("start must be at least 8 and at most half the threshold")
     sized = Sized(docs)
     parts = sized.parts(PART_BYTES)
     deals = lambda df, f: deal(df, f, packed.SCHEMA, parts)
     sent = squeezed_texts(sized, parts)
     ranked = staged(deals(sized.df.mapInArrow(_sampled(threshold, parts), packed.SCHEMA), _ranked_runs(parts)), "suffix-runs")
-    h = start or -(-threshold // 2)
-    step = min(h, threshold - h)
-    keys = deals(sent.unionByName(ranked.filter(f"kind = {OPEN}"), allowMissingColumns=True), _prefixes(threshold, h, step, parts))
-    ranks = deals(keys, _rank(parts))
-    h += step
-    while h < threshold:
-        step = min(h, threshold - h)
-        ranks = deals(deals(ranks, _double(step, parts)), _rank(parts))
-        h += step
+    steps = doublings(threshold, start)
+    keys = deals(sent.unionByName(ranked.filter(f"kind = {OPEN}"), allowMissingColumns=True), _prefixes(threshold, start, steps[0], parts))
+    ranks = staged(deals(keys, _rank(parts)), "suffix-ranks")
+    for step in steps[1:]:
+        ranks, before = staged(deals(deals(ranks, _double(step, parts)), _rank(parts)), "suffix-ranks"), ranks
+        free(before)
     single = staged(deals(ranks, _repeats(parts)), "suffix-positions")
+    free(ranks)
     tune(docs.sparkSession)
     return deal(sent.unionByName(ranked.filter(f"kind = {DONE}"), allowMissingColumns=True).unionByName(single), _cut(threshold, as_text), OUT.format("string" if as_text else "binary"), parts)

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from lexiquarry.llm.substring_dedup import substring_dedup
+from lexiquarry.llm import suffix_dedup as suffixes
 from lexiquarry.llm.suffix_dedup import suffix_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -58,10 +59,17 @@ def test_suffix_dedup(rows, start):
                 gone[k : k + 100] = b"\x01" * 100
             seen.add(key)
         expected.append((i, len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)))
-    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup(rows(pairs), start=start).collect()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup(rows(pairs), **({"start": start} if start else {})).collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_suffix_dedup_doubles(rows, monkeypatch):
+    rounds, real = [], suffixes._double
+    monkeypatch.setattr(suffixes, "_double", lambda step, parts: rounds.append(step) or real(step, parts))
+    suffix_dedup(rows(texts(4)))
+    assert rounds == [32, 36] and suffixes.doublings(100, 16) == [16, 32, 36]
+
+
 def test_words_of_equal_build_differ(rows, thue_morse):
     head = " ".join(f"w{k}" for k in range(19))
     got = substring_dedup(rows([(k, f"{head} {w}") for k, w in enumerate(thue_morse)])).collect()
