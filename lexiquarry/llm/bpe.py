@@ -10,10 +10,14 @@ After all merges the sequences of arcs from the start state are exactly the toke
 Berglund, Martens and van der Merwe, "Constructing a BPE Tokenization DFA", 2024). All arcs of a token lead to one
 state, so a state is named by the token that leads to it. Copies share what they have in common: a state keeps only
 the arcs it has lost and the merge at which it lost them, and r is the state of v as it was at its merge. An arc is
-looked up by walking these versions; looked-up arcs are kept in a transition table.
-
-A word is encoded by running the automaton over its bytes: a table of byte transitions lists the tokens that start
-at a place, and the arcs of the state say which of them can follow. Decoding emits the labels of the arcs.
+looked up by walking these versions.
+
+Composed with the bytes of the tokens, the automaton becomes a transducer over bytes. After n bytes of a word its state
+says, for each place within reach, which token the encoding of the bytes up to there ends with, and which tokens may be
+under way since (the arcs of that token's state, along a tree of the tokens' bytes). Each state has one output, the last
+token of the encoding of all bytes read; there is exactly one, as BPE encodes every byte string in one way. States and
+transitions are made when they are first needed and kept in a table, so a byte costs one look-up. The outputs, read
+back from the end of the word by the lengths of the tokens, are its encoding. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ _NEW = regex.compile(f"[{NEWER}]")
 _OLD_WORDS = regex.compile(WORDS.pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[{NEWER}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])").replace(r" ?\p{L}+", rf" ?(?:(?![{NEWER}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{NEWER}])\p{{N}})+"))
 #: Words kept with their codes by a worker; when there are more, it starts anew.
 KEPT_WORDS = 300_000
+#: States of the byte table that a worker keeps; with more, it starts the table anew.
+KEPT_STATES = 150_000
 _NEVER = 1 << 62
 
 
@@ -55,7 +61,7 @@ def split_words(text: str) -> list[str]:
 
 
 class Automaton:
-    """Deterministic over tokens; see the module. ``merges`` are pairs of ids in order, with the id that they make."""
+    """Deterministic over tokens, and over bytes; see the module. ``merges``: pairs of ids in order, with what they make."""
 
     def __init__(self, base: dict[bytes, int], merges: list[tuple[int, int, int]], labels: dict[int, bytes]):
         self.label = labels
@@ -63,7 +69,6 @@ class Automaton:
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = dict.fromkeys(base.values(), 0)
         self.lost: dict[int, dict[int, int]] = {t: {} for t in base.values()}
-        self.table: dict[int, bool] = {}
         for time, (u, v, w) in enumerate(merges, 1):
             if w in self.made:
                 raise ValueError(f"two merges make token {w}")
@@ -79,6 +84,11 @@ class Automaton:
                 if node == len(self.token):
                     self.token.append(-1)
             self.token[node] = t
+        self.more = [False] * len(self.token)
+        for key in self.next:
+            self.more[key >> 8] = True
+        self.length = {t: len(labels[t]) for t in self.made}
+        self._start()
 
     def _when_lost(self, state: int, t: int, time: int) -> int:
         """The merge up to ``time`` at which the state of a token, or one that it is a copy of, lost its t arc."""
@@ -100,58 +110,61 @@ class Automaton:
             t = self.left[t]
         return False
 
-    def arc(self, state: int, t: int) -> bool:
-        key = state << 32 | t
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) > 1_000_000:
-                self.table.clear()
-            found = self.table[key] = self._arc(state, t, _NEVER - 1)
+    def _start(self) -> None:
+        """An empty table: state 0 is before the first byte, after no token."""
+        self.known: dict[tuple, int] = {}
+        self.inside: list[tuple] = []
+        self.last: list[int] = []
+        self.moves: dict[int, int] = {}
+        self.arcs: dict[int, bool] = {}
+        self._state((0,), -1)
+
+    def _state(self, inside: tuple, last: int) -> int:
+        k = self.known.setdefault(inside, len(self.inside))
+        if k == len(self.inside):
+            self.inside.append(inside)
+            self.last.append(last)
+        return k
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after a byte: (token before + 1, place in the tree of tokens) for each token that may be under way."""
+        inside, last = [], -1
+        follow, token, arcs = self.next.get, self.token, self.arcs
+        for pending in self.inside[state]:
+            node = follow((pending & 0xFFFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            before, t = pending >> 32, token[node]
+            if t >= 0:
+                ok = arcs.get(before << 32 | t)
+                if ok is None:
+                    ok = arcs[before << 32 | t] = not before or self._arc(before - 1, t, _NEVER - 1)
+                if ok:
+                    last = t
+            if self.more[node]:
+                inside.append(before << 32 | node)
+        if last < 0:
+            raise ValueError(f"no token ends with the byte {byte}")
+        inside.append(last + 1 << 32)
+        self.moves[state << 8 | byte] = found = self._state(tuple(inside), last)
         return found
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one word: longest first, and back where the state has no such arc.
-
-        The tokens that lead to a place are unique, so a place without a way on is dead for good.
-        """
-        n, pos = len(word), 0
-        follow, token, table, arc = self.next.get, self.token, self.table, self.arc
-        out: list[int] = []
-        starts: list[int] = []
-        stack: list[list[tuple[int, int]]] = []
-        dead: set[int] = set()
-        while pos < n:
-            node, j, options = 0, pos, []
-            while j < n and (node := follow(node << 8 | word[j], -1)) >= 0:
-                j += 1
-                if (t := token[node]) >= 0:
-                    options.append((j, t))
-            stack.append(options)
-            while True:
-                options = stack[-1]
-                state = out[-1] if out else -1
-                while options:
-                    end, t = options.pop()
-                    if end in dead:
-                        continue
-                    if state >= 0:
-                        found = table.get(state << 32 | t)
-                        if not (arc(state, t) if found is None else found):
-                            continue
-                    out.append(t)
-                    starts.append(pos)
-                    pos = end
-                    break
-                else:
-                    dead.add(pos)
-                    stack.pop()
-                    if not out:
-                        raise ValueError(f"no tokens for {word!r}")
-                    out.pop()
-                    pos = starts.pop()
-                    continue
-                break
-        return out
+        """The tokens of one word."""
+        if len(self.inside) > KEPT_STATES:
+            self._start()
+        moves, last = self.moves.get, self.last
+        state, outputs = 0, []
+        add = outputs.append
+        for byte in word:
+            found = moves(state << 8 | byte)
+            state = self._move(state, byte) if found is None else found
+            add(last[state])
+        out, at = [], len(word)
+        while at:
+            out.append(outputs[at - 1])
+            at -= self.length[out[-1]]
+        return out[::-1]
 
 
 class Tokenizer:
@@ -162,9 +175,13 @@ class Tokenizer:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec["normalizer"] or pre["add_prefix_space"] or not pre.get("use_regex", True):
             raise ValueError(f"{path}: not a plain byte-level BPE file")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that depend on what is around them aren't supported")
         vocab = model["vocab"]
         labels = {i: bytes(BYTE_OF[c] for c in t) for t, i in vocab.items() if all(c in BYTE_OF for c in t)}
         base = {b: i for i, b in labels.items() if len(b) == 1}
+        if len(base) < 256:
+            raise ValueError(f"{path}: {256 - len(base)} bytes have no token")
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.automaton = Automaton(base, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], labels)
         special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
@@ -217,6 +234,8 @@ def bpe(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     repeated rows, repeated or null ids and extra columns need no rule; an empty table gives no rows.
     """
 
+    tokenizer(path)  # a file that can't be used fails here and not in the tasks
+
     def func(values: list[str]) -> dict[str, pa.Array]:
         t = tokenizer(path)
         ids = [t.ids(v) for v in values]
