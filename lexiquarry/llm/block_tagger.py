@@ -7,6 +7,7 @@ kinds of boilerplate they have where. Nothing is learned from the pages that are
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -80,10 +81,51 @@ class Tagger:
         self.v = (rng.standard_normal((2 * hidden, 1)) * 0.1).astype(np.float32)
         self.v0 = np.zeros(1, np.float32)
 
+    def _weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Both directions' weights side by side, gates at half their size, so that one tanh serves all."""
+        size = self.forward.wh.shape[0]
+        half = np.concatenate([np.full(3 * size, 0.5, np.float32), np.ones(size, np.float32)])
+        wx, wh, b = (np.stack([getattr(layer, c) * half for layer in (self.forward, self.backward)]) for c in ("wx", "wh", "b"))
+        return wx, wh, b, size
+
+    @staticmethod
+    def _steps(xw: np.ndarray, wh: np.ndarray, size: int, state: tuple[np.ndarray, np.ndarray], mask: np.ndarray | None = None):
+        """States (time, direction, page, hidden) of both directions at once, each in its order of time; and the last state."""
+        h, c = state
+        out = np.empty((*xw.shape[:3], size), np.float32)
+        for t in range(len(xw)):
+            z = np.tanh(xw[t] + h @ wh)
+            gates = z[..., : 3 * size] * 0.5 + 0.5
+            new = gates[..., size : 2 * size] * c + gates[..., :size] * z[..., 3 * size :]
+            new_h = gates[..., 2 * size :] * np.tanh(new)
+            if mask is None:
+                h, c = new_h, new
+            else:
+                m = mask[t]
+                h, c = h + m * (new_h - h), c + m * (new - c)
+            out[t] = h
+        return out, (h, c)
+
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        a, _ = self.forward.run(x, mask)
-        b, _ = self.backward.run(x[::-1], mask[::-1])
-        return _sigmoid(np.concatenate([a, b[::-1]], 2) @ self.v + self.v0)[:, :, 0]
+        wx, wh, b, size = self._weights()
+        n = x.shape[1]
+        xw = np.stack([x @ wx[0] + b[0], x[::-1] @ wx[1] + b[1]], 1)
+        both = None if mask.all() else np.stack([mask, mask[::-1]], 1)[..., None]
+        start = np.zeros((2, n, size), np.float32)
+        out, _ = self._steps(xw, wh, size, (start, start), both)
+        return _sigmoid(np.concatenate([out[:, 0], out[::-1, 1]], 2) @ self.v + self.v0)[:, :, 0]
+
+    def long_scores(self, vectors: Callable[[int, int], np.ndarray], n: int, together: int = 4096) -> np.ndarray:
+        """Scores of one page of n blocks, whose vectors are made for ``together`` blocks at a time."""
+        wx, wh, b, size = self._weights()
+        ahead, back = np.empty((n, size), np.float32), np.empty((n, size), np.float32)
+        state = (np.zeros((2, 1, size), np.float32),) * 2
+        for lo in range(0, n, together):
+            hi = min(n, lo + together)
+            xw = np.stack([vectors(lo, hi) @ wx[0] + b[0], vectors(n - hi, n - lo)[::-1] @ wx[1] + b[1]], 1)[:, :, None]
+            out, state = self._steps(xw, wh, size, state)
+            ahead[lo:hi], back[n - hi : n - lo] = out[:, 0, 0], out[::-1, 1, 0]
+        return _sigmoid(ahead @ self.v[:size] + back @ self.v[size:] + self.v0)[:, 0]
 
     def parameters(self) -> list[np.ndarray]:
         return [p for layer in (self.forward, self.backward) for p in (layer.wx, layer.wh, layer.b)] + [self.v, self.v0]
@@ -134,28 +176,38 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 # --- training pages --------------------------------------------------------------------------------------------
 
 #: Containers of articles and of each kind of boilerplate, as (tag, class names to draw from).
-ARTICLES = [("article", ["", "post", "entry", "story", "article"]), ("main", ["", "content", "main"]), ("div", ["content", "article", "article-body", "post-content", "entry-content", "story", "main-content", "text"]), ("section", ["article", "content", "story"])]
+ARTICLES = [
+    ("article", ["", "post", "entry", "story", "article", "hentry post"]),
+    ("main", ["", "content", "main", "site-main"]),
+    ("div", ["content", "article", "article-body", "post-content", "entry-content", "story", "main-content", "text", "body", "document", "prose", "markdown-body", "story-body", "rich-text", "page-content", "bodywrapper", "col-main", "post"]),
+    ("section", ["article", "content", "story", ""]),
+]
 KINDS = {
-    "menu": [("nav", ["", "menu", "navbar", "main-nav"]), ("div", ["menu", "nav", "navigation", "breadcrumb", "breadcrumbs", "topbar"]), ("ul", ["menu", "nav"])],
-    "header": [("header", ["", "site-header", "masthead"]), ("div", ["header", "masthead", "banner", "logo"])],
-    "footer": [("footer", ["", "site-footer"]), ("div", ["footer", "copyright", "legal"])],
-    "sidebar": [("aside", ["", "sidebar", "related"]), ("div", ["sidebar", "related", "widget", "recommended", "trending", "most-read"])],
-    "notice": [("div", ["cookie", "cookie-notice", "notice", "consent", "gdpr", "popup", "newsletter", "subscribe", "alert", "paywall"]), ("section", ["notice", "newsletter"])],
-    "advert": [("div", ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot"]), ("aside", ["ad", "promo"])],
-    "form": [("form", ["", "search", "login", "signup"])],
-    "comments": [("div", ["comments", "comment", "comment-list", "replies", "discussion", "disqus"]), ("section", ["comments", "responses", "reader-comments"]), ("ol", ["comment-list", "comments"]), ("ul", ["comments"])],
-    "share": [("div", ["share", "social", "tags", "author-box", "pagination"])],
+    "menu": [("nav", ["", "menu", "navbar", "main-nav", "main-navigation"]), ("div", ["menu", "nav", "navigation", "breadcrumb", "breadcrumbs", "topbar", "nav-list", "portlet"]), ("ul", ["menu", "nav", "nav-list"]), ("td", ["menu", "nav"])],
+    "header": [("header", ["", "site-header", "masthead", "header-wrap"]), ("div", ["header", "masthead", "banner", "logo", "site-branding", "header-wrap"])],
+    "footer": [("footer", ["", "site-footer"]), ("div", ["footer", "copyright", "legal", "site-info"]), ("address", ["footer", ""])],
+    "sidebar": [("aside", ["", "sidebar", "related", "widget-area"]), ("div", ["sidebar", "related", "widget", "recommended", "trending", "most-read", "sphinxsidebar", "see-also", "panel"]), ("section", ["widget", "related", "recommended", "more-stories"])],
+    "notice": [("div", ["cookie", "cookie-notice", "notice", "consent", "gdpr", "popup", "newsletter", "subscribe", "alert", "paywall", "cookie-banner", "modal", "signup-box"]), ("section", ["notice", "newsletter"]), ("aside", ["newsletter", "newsletter-box"])],
+    "advert": [("div", ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "ad-container", "top-banner ad"]), ("aside", ["ad", "promo"])],
+    "form": [("form", ["", "search", "login", "signup", "comment-form"])],
+    "comments": [("div", ["comments", "comment", "comment-list", "replies", "discussion", "disqus", "comments-area"]), ("section", ["comments", "responses", "reader-comments"]), ("ol", ["comment-list", "comments"]), ("ul", ["comments"])],
+    "share": [("div", ["share", "social", "tags", "author-box", "pagination", "share-buttons", "post-navigation"]), ("nav", ["navigation post-navigation", "pagination"])],
+    "contents": [("div", ["toc", "table-of-contents", "contents"]), ("nav", ["toc", "contents"])],
 }
+ROLES = {"menu": "navigation", "footer": "contentinfo", "header": "banner", "sidebar": "complementary", "form": "search", "contents": "navigation"}
+#: Names that say nothing of what an element holds.
+NEUTRAL = ["wrap", "wrapper", "container", "row", "col", "inner", "outer", "block", "grid", "layout", "site", "page", "section", "module", "component", "clearfix", "fluid", "box", "root", "card", "left", "right", "center", "full", "width", "default", "type", "template", "theme", "light", "item"]
 PHRASES = {
-    "menu": ["Home", "News", "Sport", "About", "Contact", "Log in"],
+    "menu": ["Home", "News", "Sport", "About", "Contact", "Log in", "Skip to content", "Menu", "Navigation", "Main page"],
     "header": ["Welcome", "Daily news", "Search"],
-    "footer": ["© 2024 All rights reserved", "Privacy policy", "Terms of use", "©"],
-    "sidebar": ["Related articles", "Most read", "Read more", "Trending"],
-    "notice": ["We use cookies to improve your experience", "Accept all", "Subscribe to our newsletter", "Your privacy"],
+    "footer": ["© 2024 All rights reserved", "Privacy policy", "Terms of use", "©", "© example.org", "© 2019", "Powered by", "This page was last edited"],
+    "sidebar": ["Related articles", "Most read", "Read more", "Trending", "Recent posts", "You may also like", "See also"],
+    "notice": ["We use cookies to improve your experience", "Accept all", "Subscribe to our newsletter", "Your privacy", "Sign up", "Accept", "Settings"],
     "advert": ["Advertisement", "Sponsored", "Buy now"],
-    "form": ["Your name", "Email", "Send", "Search", "Leave a reply"],
-    "comments": ["Comments", "Reply", "says:", "Great post!", "3 comments"],
-    "share": ["Share on", "Tweet", "Tags:", "Next page", "Written by"],
+    "form": ["Your name", "Email", "Send", "Search", "Leave a reply", "Post comment", "Go"],
+    "comments": ["Comments", "Reply", "says:", "Great post!", "3 comments", "Thanks!"],
+    "share": ["Share on", "Tweet", "Tags:", "Next page", "Written by", "Previous:", "Next:", "Share"],
+    "contents": ["Contents", "Table of contents", "1 Introduction", "2 History", "On this page"],
 }
 
 
@@ -173,18 +225,37 @@ class Maker:
         out = ["".join(self.r.choice(letters) for _ in range(self.r.randint(1, 9))) + (self.r.choice(["###", "%%%", "***", "!!", " |", "$$$"]) if junk else "") for _ in range(self.r.randint(low, high))]
         return (" ".join(out).capitalize() + self.r.choice([".", ".", ".", "", "?"])).strip()
 
-    def open(self, choices: list) -> tuple[str, str]:
-        tag, names = self.r.choice(choices)
-        name = self.r.choice(names)
-        kind = self.r.choice(["class", "class", "id"])
-        return f'<{tag} {kind}="{name}">' if name else f"<{tag}>", f"</{tag}>"
+    def neutral(self) -> str:
+        """A few names without a meaning."""
+        r = self.r
+        return " ".join(r.choice([r.choice(NEUTRAL), r.choice(NEUTRAL) + "-" + r.choice(NEUTRAL), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7)))]) for _ in range(r.randint(1, 3)))
+
+    def open(self, choices: list, role: str = "") -> tuple[str, str]:
+        r = self.r
+        tag, names = r.choice(choices)
+        name = r.choice(names)
+        if r.random() < 0.3:
+            name = f"{name} {self.neutral()}" if r.random() < 0.5 else f"{self.neutral()} {name}"
+        kind = r.choice(["class", "class", "id"])
+        extra = f' role="{role}"' if role and r.random() < 0.25 else ""
+        return (f'<{tag} {kind}="{name}"{extra}>' if name else f"<{tag}{extra}>"), f"</{tag}>"
+
+    def wrapped(self, inside: str, p: float = 0.3) -> str:
+        """Perhaps in some containers that mean nothing."""
+        while self.r.random() < p:
+            tag = self.r.choice(["div", "div", "section"])
+            inside = f'<{tag} class="{self.neutral()}">{inside}</{tag}>' if self.r.random() < 0.8 else f"<{tag}>{inside}</{tag}>"
+        return inside
 
     def main(self) -> str:
         m, r = self.MARK, self.r
-        title = self.words(3, 10)
+        title = self.words(3, 10) if r.random() < 0.8 else self.words(1, 3)
         out = [f"<h1>{m}{title}</h1>"] if r.random() < 0.85 else []
-        if r.random() < 0.5:
+        if out and r.random() < 0.25:
+            out = [f'<header class="{r.choice(["entry-header", "article-header", "post-header", "header", ""])}">{out[0]}</header>']
+        if r.random() < 0.4:
             out.append(r.choice([f"<p><b>{m}{title}<br>", f"<p><b>{m}{title}</b></p>", f"<p><strong>{m}{title}</strong></p>"]))
+        plain = r.random() < 0.1
         for _ in range(r.choice([1, 2, 3, 4, 6, 8, 12])):
             k = r.random()
             long = (1, 3) if k < 0.2 else (3, 20) if k < 0.45 else (10, 90) if k < 0.95 else (100, 400)
@@ -192,52 +263,76 @@ class Maker:
             if r.random() < 0.1:
                 text += f' <a href="#">{self.words(1, 3)}</a> {self.words(2, 9)}'
             k = r.random()
-            if k < 0.8:
+            if plain:
+                out.append(f"<p>{text}")
+            elif k < 0.74:
                 out.append(f"<p>{text}</p>" if r.random() < 0.9 else f"<p><b>{text}<br>")
-            elif k < 0.86:
-                out.append(f"<h{r.randint(2, 4)}>{text}</h{r.randint(2, 4)}>")
-            elif k < 0.92:
+            elif k < 0.82:
+                out.append(f"<h{r.randint(2, 4)}>{m}{self.words(1, 7)}</h{r.randint(2, 4)}>")
+            elif k < 0.88:
                 out.append("<ul>" + "".join(f"<li>{m}{self.words(2, 12)}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
-            elif k < 0.96:
+            elif k < 0.91:
                 out.append(f"<blockquote><p>{text}</p></blockquote>")
+            elif k < 0.93:
+                out.append("<dl>" + "".join(f"<dt>{m}{self.words(1, 3)}</dt><dd>{m}{self.words(2, 20)}</dd>" for _ in range(r.randint(1, 3))) + "</dl>")
+            elif k < 0.95:
+                out.append(f"<pre>{text}</pre>")
+            elif k < 0.975:
+                out.append(f"<figure><img><figcaption>{m}{self.words(2, 9)}</figcaption></figure>")
             else:
                 out.append(f"<table><tr><td>{m}{self.words(1, 4)}</td><td>{m}{self.words(1, 4)}</td></tr></table>")
+        cut = r.randint(0, len(out))
+        if not plain and r.random() < 0.15:
+            out[cut:] = [self.wrapped("".join(out[cut:]), 0.7)]
+        if r.random() < 0.15:
+            out.insert(r.randint(0, min(3, len(out))), self.boilerplate("contents"))
         return "".join(out)
 
     def boilerplate(self, kind: str) -> str:
         r = self.r
-        start, end = self.open(KINDS[kind])
-        item = lambda: r.choice(PHRASES[kind]) if r.random() < 0.4 else self.words(1, 3) if kind in ("menu", "share") else self.words(1, 40)
+        start, end = self.open(KINDS[kind], ROLES.get(kind, ""))
+        item = lambda: r.choice(PHRASES[kind]) if r.random() < 0.4 else self.words(1, 3) if kind in ("menu", "share", "contents") else self.words(1, 40)
         n = r.randint(1, 8)
         form = r.random()
-        if kind in ("menu", "sidebar", "footer", "share") and form < 0.65:
-            body = "<ul>" + "".join(f'<li><a href="/{k}">{item()}</a></li>' for k in range(n)) + "</ul>"
+        if kind in ("menu", "sidebar", "footer", "share", "contents") and form < 0.65:
+            body = "<ul>" + "".join(f'<li><a href="/{k}">{item()}</a></li>' for k in range(n)) + "</ul>" if r.random() < 0.8 else "<br>".join(f'<a href="/{k}">{item()}</a>' for k in range(n))
         elif kind == "comments":
-            body = "".join(f"<{t}>{item()}</{t}>" if r.random() < 0.5 else f'<div class="{r.choice(["comment", "reply", "body"])}"><p>{item()}</p></div>' for t in (r.choice(["p", "div", "li"]) for _ in range(n)))
+            body = "".join(f"<{t}>{item()}</{t}>" if r.random() < 0.5 else f'<{r.choice(["div", "article"])} class="{r.choice(["comment", "reply", "body", "comment-body"])}"><p>{item()}</p></div>' for t in (r.choice(["p", "div", "li"]) for _ in range(n)))
         elif kind == "form":
             body = f"<label>{item()}</label><input><button>{item()}</button>"
         elif form < 0.5:
             body = item()
         else:
-            body = "".join(f"<p>{item()}</p>" for _ in range(min(n, 3)))
-        if r.random() < 0.2:
+            body = "".join(f"<p>{item()}</p>" if r.random() < 0.8 else f"<button>{item()}</button>" for _ in range(min(n, 3)))
+        if kind == "sidebar" and r.random() < 0.2:
+            body = "".join(f'<a href="/{k}"><h3>{item()}</h3></a>' for k in range(n))
+        if r.random() < 0.25:
             body = f"<h{r.randint(2, 4)}>{r.choice(PHRASES[kind])}</h3>" + body
-        return start + body + end
+        return start + self.wrapped(body, 0.15) + end
 
     def page(self) -> str:
         r = self.r
         some = lambda kinds, p: "".join(self.boilerplate(k) for k in kinds if r.random() < p)
-        start, end = self.open(ARTICLES)
+        start, end = self.open(ARTICLES, "main") if r.random() < 0.9 else ("", "")
         inside = self.main()
         if r.random() < 0.3:
             cut = inside.find("<p>", len(inside) // 2)
             if cut > 0 and not inside[:cut].rstrip().endswith("<br>"):
                 inside = inside[:cut] + some(["advert", "notice", "sidebar"], 0.4) + inside[cut:]
-        inside += some(["share", "comments", "form"], 0.12)
-        wrap = r.choice([("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>")])
+        inside += some(["share", "comments", "form"], 0.15)
+        inside = start + self.wrapped(inside) + end
+        after = some(["share", "comments", "sidebar", "form"], 0.3)
+        if r.random() < 0.3:
+            inside, after = self.wrapped(some(["header", "menu"], 0.2) + inside + after, 0.6), ""
+            if r.random() < 0.4:
+                inside = f"<main>{inside}</main>"
         before = some(["notice"], 0.2) + some(["header", "menu"], 0.6) + some(["advert"], 0.5) + some(["sidebar", "form"], 0.15)
-        after = some(["share", "comments", "sidebar", "form"], 0.3) + some(["advert", "notice"], 0.2) + some(["footer"], 0.8)
-        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{wrap[0]}{before}{start}{inside}{end}{after}{wrap[1]}</body></html>"
+        after += some(["advert", "notice"], 0.2) + some(["sidebar"], 0.2) + some(["footer"], 0.8)
+        names = self.neutral() if r.random() < 0.3 else ""
+        if r.random() < 0.15:
+            names += " " + r.choice([r.choice(n) for kind in KINDS.values() for _, n in kind] + ["single-post", "has-sidebar", "home"])
+        body = f'<body class="{names.strip()}">' if names else "<body>"
+        return f"<html><head><title>{self.words(2, 6)}</title></head>{body}{self.wrapped(before + self.wrapped(inside, 0.25) + after)}</body></html>"
 
     def example(self) -> tuple[np.ndarray, np.ndarray]:
         found = blocks(self.page())
@@ -248,7 +343,7 @@ class Maker:
 
 
 @lru_cache(2)
-def trained(pages: int = 1200, epochs: int = 10, seed: int = 1) -> Tagger:
+def trained(pages: int = 2600, epochs: int = 8, seed: int = 1) -> Tagger:
     """A tagger fitted to pages made from ``seed``; the same one on every call."""
     maker = Maker(seed)
     tagger = Tagger()

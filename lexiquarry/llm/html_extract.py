@@ -2,7 +2,8 @@
 
 A page becomes the sequence of its leaf blocks, each with a vector of hashed tag-path names, hashed words and a few
 numbers. A bidirectional LSTM reads the sequence both ways, so that every block is classified by the whole page, and
-the blocks that it takes for main text are joined. Pages of similar length are labelled together.
+the blocks that it takes for main text are joined. Pages of similar length are labelled together; a page of many blocks
+by itself, with the vectors of a stretch of it at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def main_texts(tagger: Tagger, pages: list[str]) -> list[list[str]]:
     order = sorted((k for k in range(len(pages)) if found[k]), key=lambda k: len(found[k]))
     at = 0
     while at < len(order):
+        if len(mine := found[order[at]]) > TOGETHER:
+            scores = tagger.long_scores(lambda lo, hi, mine=mine: features(mine, lo, hi), len(mine))
+            out[order[at]] = [b.text for b, s in zip(mine, scores, strict=True) if s >= 0.5]
+            at += 1
+            continue
         end = at + 1
         while end < len(order) and (end - at + 1) * len(found[order[end]]) <= TOGETHER:
             end += 1

@@ -32,6 +32,28 @@ def test_automaton_encodes_as_the_library():
         assert mine.text(ids) == t
 
 
+def test_automaton_starts_its_table_anew(monkeypatch):
+    from lexiquarry.llm import bpe as module
+
+    mine, library = Tokenizer(PATH), Library.from_file(PATH)
+    monkeypatch.setattr(module, "KEPT_STATES", 50)
+    for k in range(300):
+        t = f"word{k * 7919}ing and more"
+        assert list(array.array("I", mine.ids(t))) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_files_that_are_not_supported(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    (tmp_path / "lstrip.json").write_text(json.dumps(spec | {"added_tokens": [t | {"lstrip": True} for t in spec["added_tokens"]]}))
+    few = {t: i for t, i in spec["model"]["vocab"].items() if t != "!"}
+    (tmp_path / "few.json").write_text(json.dumps(spec | {"model": spec["model"] | {"vocab": few, "merges": []}}))
+    for name in ("lstrip", "few"):
+        with pytest.raises(ValueError, match=name):
+            Tokenizer(f"{tmp_path}/{name}.json")
+
+
 def test_bpe_and_counts(spark, rows, tmp_path):
     docs = rows([(k, t) for k, t in enumerate(ODD)] + [(None, None), (3, "same"), (3, "same")])
     library = Library.from_file(PATH)
@@ -89,6 +111,52 @@ def test_blocks():
     assert [b.text for b in blocks(page)] == ["Home", "Title & more x", "Next one", "a", "b", "tail"]
 
 
+@pytest.mark.parametrize("page, texts", [("<p>one</p><svg/><p>two</p>", ["one", "two"]), ("<p>one</p><iframe src=x /><p>two</p>", ["one", "two"]), ("<p>one</p><!--><p>two</p>", ["one", "two"]), ("<p>one</p><svg><path d='M0'><p>two", ["one", "two"]), ("<p>E = <math><mi>m</mi><mo>c</mo></math></p><noscript>shown</noscript>", ["E = mc", "shown"]), ("<p>1 < 2 <a title='a>b'>l</a></p", ["1 < 2 l</p"]), ("<style>x</style><p>a<script>b</p></script>c", ["ac"]), ("<title>t</title><textarea>u", ["t", "u"]), ("", []), ("<", ["<"])])
+def test_nothing_is_lost(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>x", "<a b ", '<a x="', "<ul><li>x", "<span>y<hr>", "x</q>", "<title>", "a" * 9):
+        began = time.time()
+        blocks("<" + unit * (2_000_000 // len(unit)))
+        assert time.time() - began < 20, unit
+
+
+def test_long_pages_are_labelled_as_short_ones():
+    import numpy as np
+
+    from lexiquarry.llm.block_tagger import Maker, Tagger, padded
+
+    tagger, maker = Tagger(seed=3), Maker(5)
+    some = [maker.example()[0] for _ in range(6)]
+    x, mask, _ = padded([(f, np.zeros(len(f), np.float32)) for f in some])
+    together = tagger.scores(x, mask)
+    a, _ = tagger.forward.run(x, mask)
+    b, _ = tagger.backward.run(x[::-1], mask[::-1])
+    plain = 1 / (1 + np.exp(-(np.concatenate([a, b[::-1]], 2) @ tagger.v + tagger.v0)))[:, :, 0]
+    for k, f in enumerate(some):
+        alone = tagger.long_scores(lambda lo, hi, f=f: f[lo:hi], len(f), 5)
+        assert np.allclose(alone, together[: len(f), k], atol=1e-5) and np.allclose(alone, plain[: len(f), k], atol=1e-5)
+
+
+def test_blocks_of_pages_of_other_makes():
+    from labelled_pages import PAGES
+
+    from lexiquarry.llm.block_tagger import trained
+    from lexiquarry.llm.html_extract import main_texts
+
+    right = total = 0
+    got = main_texts(trained(), [page.replace("§", "") for page in PAGES.values()])
+    for page, kept in zip(PAGES.values(), got):
+        found = [b.text for b in blocks(page)]
+        total += len(found)
+        right += sum(("§" in t) == (t.replace("§", "") in kept) for t in found)
+    assert right / total > 0.85
+
+
 def test_extract(spark):
     filler = "Words that make an article of some length and say a little."
     page = f'<html><head><title>t</title></head><body><header class="site-header">Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now</div><article><h1>A title here</h1><p>{filler}</p><p>{filler} &copy; x</p></article><section class="comments"><div class="comment"><p>Great post!</p></div></section><aside class="sidebar">Most read</aside><form class="search"><label>Email</label></form><footer>&copy; legal</footer></body></html>'
