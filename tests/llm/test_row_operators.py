@@ -83,6 +83,36 @@ def test_language_id(rows):
     assert identify(test.limit(0), model).count() == 0
 
 
+def test_kernels_by_brute_force(rows, monkeypatch):
+    import numpy as np
+
+    from lexiquarry.llm import language_id
+
+    r = random.Random(6)
+    docs = [(k, "".join(r.choice("abcé ") for _ in range(r.choice([1, 2, 5, 80]))) + "x", "pq"[k % 2]) for k in range(30)]
+    spark = rows([]).sparkSession
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = train(table, per_class=9, landmarks=8)
+    marks = [t.encode() for _, t in language_id.sample(table, "lang", 9, 10)]
+    marks = [*marks[:4], *marks[9:13]]
+    grams = lambda b: {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+    known = set().union(*(grams(t.encode()) for _, t in language_id.sample(table, "lang", 9, 10)))
+    texts = [t.encode() for _, t, _ in docs] + [b"", b"ab" * 40000, b"a"]
+    off, data = np.concatenate([[0], np.cumsum([len(t) for t in texts])]), np.frombuffer(b"".join(texts), np.uint8)
+    want = np.array([[len(grams(t) & grams(m)) / (max(1, len(grams(t) & known)) * len(grams(m))) ** 0.5 for m in marks] for t in texts])
+    for piece in (language_id.PIECE, 1000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        p = model.presence(off, data)
+        assert len(model.grams.codes) == len(known) + 1
+        assert np.allclose(model.kernel(p), want, atol=1e-5)
+        assert np.allclose(model.scores(off, data), want @ model.coefficients, atol=1e-3)
+    same = spark.createDataFrame([(k, "abc", "z") for k in range(3)], "doc_id long, text string, lang string")
+    assert {(x.lang_pred, x.score) for x in identify(same, train(same)).collect()} == {("z", 1.0)}
+    assert len({(x.lang_pred, x.score) for x in identify(same, model).collect()}) == 1
+    with pytest.raises(ValueError):
+        train(table, classes=1)
+
+
 def test_decontaminate(spark, rows):
     item = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     bench = [(1, "One two three four five six seven eight nine ten eleven twelve"), (10, "short item"), (2, None), (3, "..."), (None, "lone words here"), (1, "One two three four five six seven eight nine ten eleven twelve")]
