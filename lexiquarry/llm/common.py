@@ -194,18 +194,21 @@ def deal(df: DataFrame, func: Callable[[pa.Table], pa.Table], schema: str, parts
 HOT = 1024
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has one short row at most for a key, whatever share of ``left`` a key has.
 
     Keys with more than 1/HOT of the rows of ``left`` are at most HOT, so their rows of ``right`` are broadcast, and those
-    of ``left`` stay where they are; the others meet by a shuffle. ``left`` is read three times: give a staged table.
+    of ``left`` stay where they are; the others meet by a shuffle. ``counts`` has the rows of ``left`` for a key as ``n``,
+    where they are known (keys with one row may be left out). ``left`` is read several times: give a staged table.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("n"))
-    total = left.count()
-    hot = [r[0] for r in counts.filter((F.col("n") * HOT > total) & (F.col("n") > 100) & F.col(key).isNotNull()).select(key).collect()]
+    key = [key] if isinstance(key, str) else key
+    counts = left.groupBy(*key).agg(F.count("*").alias("n")) if counts is None else counts.select(*key, "n")
+    counts = counts.filter("n > 100")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter((F.col("n") * HOT > total) & F.col(key[0]).isNotNull()).select(*key).collect() if total else []
     if not hot:
         return left.join(right, key, how)
-    keys = F.broadcast(left.sparkSession.createDataFrame([(x,) for x in hot], left.select(key).schema))
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*key).schema))
     few = F.broadcast(right.join(keys, key, "left_semi"))
     some = left.join(keys, key, "left_semi").join(few, key, how)
     return left.join(keys, key, "left_anti").join(right, key, how).unionByName(some)

@@ -9,8 +9,9 @@ Ertl 2018). Points are made in ascending order of time, for all shingles of many
 component must have been reached.
 
 Texts of equal words are one class from the start. Signatures are banded; every class is first compared with the
-least class of its buckets, and the links make components. Only where a bucket then still holds several components are
-pairs between these compared, in blocks, first by signature and then by their words, and one link for each member kept.
+least class of its buckets, and the links make components. Where a bucket then still holds several components, one member
+of each is compared, and where it still does, all members with those of other components, in blocks, first by signature
+and then by their words; one link for each member is kept.
 So a group of copies costs a comparison each, and no list of all pairs is ever made. Every link is verified by the exact overlap of the multisets.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, SPACE, Rolling, Sized, binary, deal, mix, sequence_hashes, staged, trim, tune, unsqueezed, word_bounds, word_hashes
+from .common import BASES, SPACE, Rolling, Sized, binary, deal, free, join_unique, mix, sequence_hashes, staged, trim, tune, unsqueezed, word_bounds, word_hashes
 from .components import components
 from .decontaminate import LOWER
 
@@ -121,7 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * b.num_rows + 1, BANDS, dtype=np.int32)), pa.array(bands(sig).view(np.int64).ravel()))
             short = [x.tobytes() for x in sig.astype(np.uint16)]
             texts = [z.compress(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch({"key": b.column("key"), "id": b.column("id"), "f1": f1, "f2": f2, "buckets": buckets, "signature": pa.array(short, pa.binary()), "text": pa.array(texts, pa.binary())})
+            yield pa.record_batch({"key": b.column("key"), "id": b.column("id"), "sub": b.column("sub"), "f1": f1, "f2": f2, "buckets": buckets, "signature": pa.array(short, pa.binary()), "text": pa.array(texts, pa.binary())})
         trim()
 
 
@@ -159,8 +160,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, parts: int) -
 
     The texts of up to about TOGETHER pairs of a leader meet in one part; a leader with more is in several.
     """
-    n = pairs.groupBy("lead").agg(F.ceil(F.count("*") / TOGETHER).alias("n"))
-    placed = pairs.join(n, "lead").select("lead", "key", F.pmod(F.xxhash64("key"), "n").alias("block"))
+    n = pairs.groupBy("lead").agg(F.count("*").alias("n"))
+    placed = join_unique(pairs, n.select("lead", F.ceil(F.col("n") / TOGETHER).alias("blocks")), "lead", "inner", n)
+    placed = placed.select("lead", "key", F.pmod(F.xxhash64("key"), "blocks").alias("block"))
     wanted = placed.unionByName(placed.select("lead", F.col("lead").alias("key"), "block").distinct())
     found = wanted.join(texts.select("key", "text"), "key").withColumn("part", F.pmod(F.xxhash64("lead", "block"), F.lit(parts)).cast("int"))
     return deal(found, _verify(threshold), "a long, b long, similarity double", parts)
@@ -233,14 +235,31 @@ def _compare(least: float, threshold: float):
 def across(members: DataFrame, texts: DataFrame, least: float, threshold: float, parts: int) -> DataFrame:
     """(a, b, similarity): links that connect different labels of the same bucket.
 
-    members: bucket, band, key, label. Only buckets with several labels are looked at; large ones in blocks, each pair
-    of blocks a lot of its own. A pair is compared in its first common bucket, if its signatures agree in a share of at
-    least ``least``, and is verified there; a lot sends one link at most for each of its members.
+    members: bucket, band, key, label. Only buckets with several labels are looked at. A label with ``BLOCK`` members or
+    more makes blocks of its own, the others share blocks; pairs of blocks are lots, but for those of one label alone. So
+    a stranger in a large bucket is compared with each member, and these aren't with each other. A pair is compared in its
+    first common bucket, if its signatures agree in a share of at least ``least``, and is verified there; a lot sends one
+    link at most for each of its members.
     """
-    several = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / BLOCK).alias("n")).filter("l0 < l1")
-    mine = members.join(several.select("bucket", "n"), "bucket").withColumn("i", F.pmod(F.xxhash64("key"), "n"))
-    lots = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    lots = lots.select("key", "label", "band", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("lot"), F.when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0).otherwise(2).alias("side"))
+    mixed = -(2**63)
+    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    several = by_label.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("bucket")
+    owner = F.when(F.col("n") >= BLOCK, F.col("label")).otherwise(F.lit(mixed))
+    owners = by_label.join(several, "bucket").select("bucket", owner.alias("owner"), "n").groupBy("bucket", "owner").agg(F.sum("n").alias("n"))
+    owners = staged(owners.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "near-owners")
+    x, y = (owners.select("bucket", F.col("owner").alias(f"o{k}"), F.col("blocks").alias(f"b{k}")) for k in (0, 1))
+    pairs = x.join(y, "bucket").filter((F.col("o0") < F.col("o1")) | ((F.col("o0") == F.col("o1")) & (F.col("o0") == mixed)))
+    first = pairs.select("bucket", F.col("o0").alias("owner"), F.col("b0").alias("own"), F.col("o1").alias("other"), F.col("b1").alias("blocks"), F.lit(0).alias("side"))
+    second = pairs.filter("o0 < o1").select("bucket", F.col("o1").alias("owner"), F.col("b1").alias("own"), F.col("o0").alias("other"), F.col("b0").alias("blocks"), F.lit(2).alias("side"))
+    plan = first.unionByName(second).groupBy("bucket", "owner").agg(F.first("own").alias("own"), F.collect_list(F.struct("other", "blocks", "side")).alias("others"))
+    large = by_label.filter(F.col("n") >= BLOCK).select("bucket", "label", F.col("label").alias("owner"), "n")
+    mine = join_unique(members, large.select("bucket", "label", "owner"), ["bucket", "label"], "left", large).withColumn("owner", F.coalesce("owner", F.lit(mixed)))
+    mine = join_unique(mine, plan, ["bucket", "owner"], "inner", owners).withColumn("i", F.pmod(F.xxhash64("key"), "own"))
+    lots = mine.withColumn("o", F.explode("others")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o.blocks") - 1)))
+    same = F.col("owner") == F.col("o.other")
+    one, two = F.struct("owner", "i"), F.struct(F.col("o.other").alias("owner"), F.col("j").alias("i"))
+    side = F.when(~same, F.col("o.side")).when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0).otherwise(2)
+    lots = lots.select("key", "label", "band", F.xxhash64("bucket", F.least(one, two), F.greatest(one, two)).alias("lot"), side.alias("side"))
     found = lots.join(texts, "key").withColumn("part", F.pmod("lot", F.lit(parts)).cast("int"))
     return deal(found, _compare(least, threshold), "a long, b long, similarity double", parts)
 
@@ -260,30 +279,38 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sized = Sized(docs)
     parts = sized.parts(12 << 20)
     key = F.when((F.col("sub") == 0) & (F.col("id") > -(2**62)), F.col("id")).otherwise(F.xxhash64("id", "sub"))
-    signed = staged(sized.df.withColumn("key", key).select("key", "id", "text").mapInArrow(_sign, "key long, id long, f1 long, f2 long, buckets array<long>, signature binary, text binary"), "near-signed")
+    signed = staged(sized.df.withColumn("key", key).select("key", "id", "sub", "text").mapInArrow(_sign, "key long, id long, sub long, f1 long, f2 long, buckets array<long>, signature binary, text binary"), "near-signed")
     tune(spark)
-    ids = sized.df.withColumn("key", key).select("key", "id", "sub")
-    members = signed.select("key", "id", "f1", "f2")
-    first = members.filter("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "key")).alias("least"))
-    first = staged(first.select("f1", "f2", F.col("least.key").alias("lead"), F.col("least.id").alias("lead_id")), "near-first")
-    classes = signed.join(first.select(F.col("lead").alias("key")), "key", "left_semi")
+    members = signed.select("key", "id", "sub", "f1", "f2")
+    words = members.filter("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("n"))
+    words = staged(words.select("f1", "f2", F.col("least.key").alias("lead"), F.col("least.id").alias("lead_id"), "n"), "near-first")
+    classes = signed.join(words.select(F.col("lead").alias("key")), "key", "left_semi")
     classes = staged(classes.select("key", "buckets"), "near-classes")
 
     banded = classes.select("key", F.posexplode("buckets").alias("band", "bucket"))
-    full = banded.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("bucket", "lead")
-    shared = staged(banded.join(full, "bucket"), "near-buckets")
-    pairs = shared.filter("key > lead").groupBy("key").agg(F.min("lead").alias("lead"))
+    full = staged(banded.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "near-full")
+    shared = staged(join_unique(banded, full.select("bucket", "lead"), "bucket", "inner", full), "near-buckets")
+    free(full)
+    pairs = staged(shared.filter("key > lead").groupBy("key").agg(F.min("lead").alias("lead")), "near-pairs")
     links = staged(verified(pairs, signed, threshold, parts), "near-links")
-    labels = components(links, "near-labels")
+    free(pairs)
 
     least = threshold - 5 * (threshold * (1 - threshold) / SIZE) ** 0.5
-    labelled = shared.select("bucket", "band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    more = across(labelled, signed.select("key", "signature", "buckets", "text"), least, threshold, parts)
-    labels = components(links.unionByName(more), "near-final").withColumnRenamed("node", "lead")
-
-    grouped = members.join(first, ["f1", "f2"], "left").join(labels, "lead", "left").select("key", "id", "lead_id", F.coalesce("label", "lead", "key").alias("label"))
-    least_id = F.min(F.struct("id", "key"))
-    top = grouped.groupBy("label").agg(least_id.alias("top"))
-    got = grouped.join(top, "label").join(ids.select("key", "sub"), "key")
+    texts = signed.select("key", "signature", "buckets", "text")
+    for representatives in (True, False):
+        labels = components(links.select("a", "b"), "near-labels").withColumnRenamed("node", "key")
+        of = shared.select("bucket", "band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        of = of.groupBy("bucket", "band", "label").agg(F.min("key").alias("key")) if representatives else of
+        of = staged(of, "near-labelled")
+        more = staged(across(of, texts, least, threshold, parts), "near-links")
+        free(of)
+        links = links.unionByName(more)
+    labels = components(links.select("a", "b"), "near-final").withColumnRenamed("node", "lead")
+
+    grouped = staged(join_unique(members, words.drop("n"), ["f1", "f2"], "left", words), "near-grouped")
+    grouped = staged(join_unique(grouped, labels, "lead", "left").select("key", "id", "sub", "lead_id", F.coalesce("label", "lead", "key").alias("label")), "near-grouped")
+    free(signed, classes, shared, words)
+    top = grouped.groupBy("label").agg(F.min(F.struct("id", "key")).alias("top"))
+    got = join_unique(grouped, top, "label")
     null = lambda c: F.nullif(c, F.lit(-(2**63)))
     return got.select(null(F.col("id")).alias("doc_id"), "sub", null(F.col("top.id")).alias("class_id"), null(F.coalesce("lead_id", "id")).alias("copy_of"), (F.col("key") == F.col("top.key")).alias("kept"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, texts, tune
+from .common import join_unique, new_path, staged, texts, tune
 
 CACHE = "content binary, tokenizer string, n_tokens long"
 
@@ -74,5 +74,5 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
     misses.select("content", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == v).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    got = digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(counts, "content")
+    got = join_unique(staged(digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "digests"), counts, "content")
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

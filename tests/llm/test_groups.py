@@ -91,6 +91,26 @@ def test_links_between_components(spark):
     assert linked == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
 
+def test_a_stranger_is_compared_with_each_member_of_a_large_component(spark, monkeypatch):
+    import zstandard
+
+    from lexiquarry.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 4)
+    sent, real = [], module.deal
+    monkeypatch.setattr(module, "deal", lambda df, *a: sent.append(df.count()) or real(df, *a))
+    z = zstandard.ZstdCompressor()
+    text = lambda k: " ".join(f"{'a' if k < 30 else 'ab'[k % 2]}{n}" for n in range(60))
+    keys = range(33)
+    table = spark.createDataFrame([(k, bytearray(np.full(168, 1, np.uint16).tobytes()), [7] * 28, bytearray(z.compress(text(k).encode()))) for k in keys], "key long, signature binary, buckets array<long>, text binary")
+    members = spark.createDataFrame([(7, 0, k, 0 if k < 30 else k) for k in keys], "bucket long, band int, key long, label long")
+    links = across(members, table, 0.6, 0.8, 4).collect()
+    edges = [(x.a, x.b) for x in links] + [(k, k + 1) for k in range(29)]
+    linked = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert linked == {**dict.fromkeys(range(31), 0), 32: 0}
+    assert sent[0] < 33 + 30 + 8 * 3
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (2, 1), (5, 5), (9, 8), (8, 7), *((k, k + 1) for k in range(100, 140))]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
