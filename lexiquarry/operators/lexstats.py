@@ -35,6 +35,12 @@ def vocabulary(long: DataFrame, n_docs: DataFrame, min_df: int = 5, max_df: floa
     return counts.crossJoin(n_docs).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs"))).drop("n_docs")
 
 
+def kept_terms(tf: DataFrame, n_docs: DataFrame, min_df: int = 5, max_df: float = 0.95, **more: Column) -> DataFrame:
+    """As ``vocabulary``, of documents' counts (doc, term, n), with further sums over them."""
+    counts = tf.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"), *(c.alias(k) for k, c in more.items()))
+    return counts.crossJoin(n_docs).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs"))).drop("n_docs")
+
+
 def count_documents(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"))
 
@@ -44,13 +50,17 @@ def top(df: DataFrame, score: str, n: int, ascending: bool = False) -> DataFrame
     return df.orderBy(F.col(score).asc() if ascending else F.col(score).desc(), "term").limit(n)
 
 
-def tfidf_means(long: DataFrame, kept: DataFrame, n_docs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(term, tfidf_mean): tf * (ln((1 + N) / (1 + df)) + 1), of unit length by document, averaged over all N documents."""
-    tf = long.groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    weighted = tf.join(kept.select("term", "df"), "term").crossJoin(n_docs)
-    weighted = weighted.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    length = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weighted.join(length, doc).groupBy("term").agg((F.sum(F.col("w") / F.col("length")) / F.first("n_docs")).alias("tfidf_mean"))
+def tfidf_means(tf: DataFrame, kept: DataFrame, n_docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(term, tfidf_mean) of documents' counts (doc, term, n): n * (ln((1 + N) / (1 + df)) + 1), of unit length by document,
+    averaged over all N documents.
+
+    A document's weighted terms meet in one row, so that its length needs no further join; a term joins by its weight.
+    """
+    idf = kept.crossJoin(n_docs).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = tf.join(idf, "term").select(doc, "term", (F.col("n") * F.col("idf")).alias("w"))
+    unit = weighted.groupBy(doc).agg(F.collect_list(F.struct("term", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    shares = unit.select("length", F.inline("ws")).groupBy("term").agg(F.sum(F.col("w") / F.col("length")).alias("share"))
+    return shares.crossJoin(n_docs).select("term", (F.col("share") / F.col("n_docs")).alias("tfidf_mean"))
 
 
 def two_sides(counts: DataFrame, side: str, a: str, b: str, *by: str) -> DataFrame:
@@ -99,6 +109,6 @@ def class_tfidf(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """(topic, term, score): tf / sum of tf * ln(1 + A / f), A the mean number of words of a topic, f the term's count."""
     size = counts.groupBy(topic).agg(F.sum("n").alias("size"))
     mean = size.agg(F.avg("size").alias("mean_size"))
-    total = counts.groupBy("term").agg(F.sum("n").alias("f"))
-    joined = counts.join(size, topic).join(total, "term").crossJoin(mean)
+    by_term = counts.groupBy("term").agg(F.collect_list(F.struct(topic, "n")).alias("ns"), F.sum("n").alias("f"))
+    joined = by_term.select("term", "f", F.inline("ns")).join(size, topic).crossJoin(mean)
     return joined.select(topic, "term", "n", (F.col("n") / F.col("size") * F.ln(1 + F.col("mean_size") / F.col("f"))).alias("score"))

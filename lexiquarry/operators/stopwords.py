@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
+import pyspark
+
 #: Italian stop words and speech words that the frequency reports leave out.
 STOP_WORDS = tuple(
     w.lower()
@@ -39,8 +46,20 @@ HEALTH_PREFIXES = tuple(
 )
 
 
-def italian_stop_words() -> list[str]:
-    """Spark's Italian list with the fixed ones and the leftovers; needs a session."""
-    from pyspark.ml.feature import StopWordsRemover
+@lru_cache(16)
+def listed(language: str) -> tuple[str, ...]:
+    """Spark's own stop words of a language, as they lie in its jar; needs no session."""
+    for home in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)):
+        for jar in sorted(Path(home or "/nowhere").glob("jars/spark-mllib_*.jar")):
+            with zipfile.ZipFile(jar) as z:
+                return tuple(z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode().split())
+    raise FileNotFoundError("no jars of Spark with its lists of stop words")
+
 
-    return sorted({*StopWordsRemover.loadDefaultStopWords("italian"), *STOP_WORDS, *LEFTOVERS})
+#: Fixed value: the text that topics are compared with.
+HEALTH_QUERY = "sanità salute ospedale medico paziente medicina vaccino epidemia prevenzione diagnosi terapia servizio sanitario nazionale pandemia malattia farmaco ricovero tumore virus"
+
+
+def italian_stop_words() -> list[str]:
+    """Spark's Italian list with the fixed ones and the leftovers."""
+    return sorted({*listed("italian"), *STOP_WORDS, *LEFTOVERS})

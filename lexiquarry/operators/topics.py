@@ -32,6 +32,33 @@ def keyword_topics(words: DataFrame, prefixes: Sequence[str], topic: str = "topi
     return words.groupBy(topic).agg(starts_with_any(F.collect_list("term"), prefixes).alias("by_keywords"))
 
 
+def phrase_similarity(words: DataFrame, query: str, topic: str = "topic") -> DataFrame:
+    """(topic, similarity): cosine of the words of a topic with those of the query, each word a dimension.
+
+    Stands in for a sentence encoder; ``encoded_similarity`` takes one.
+    """
+    wanted = sorted(set(query.split()))
+    common = F.count_if(F.col("term").isin(wanted))
+    return words.groupBy(topic).agg(F.round(common / F.sqrt(F.count("*") * F.lit(float(len(wanted)))), 6).alias("similarity"))
+
+
+def encoded_similarity(words: DataFrame, query: str, encoder, topic: str = "topic") -> DataFrame:
+    """The same by a plugged-in ``encoder`` (list of texts to matrix): of the topic's words, in order, with the query."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        unit = lambda m: np.asarray(m, float) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        q = unit(encoder([query]))[0]
+        for b in batches:
+            yield pd.DataFrame({topic: b[topic], "similarity": unit(encoder(list(b["phrase"]))) @ q if len(b) else []})
+
+    pairs = F.sort_array(F.collect_list(F.struct("rank", "term")))
+    phrases = words.groupBy(topic).agg(F.concat_ws(" ", F.transform(pairs, lambda p: p["term"])).alias("phrase"))
+    return phrases.mapInPandas(run, f"{topic} int, similarity double")
+
+
 def above_threshold(scores: DataFrame, score: str, floor: float = 0.35, percentile: float = 0.85) -> DataFrame:
     """Adds by_semantic: the score reaches the larger of the floor and the percentile of all scores."""
     cut = scores.agg(F.greatest(F.lit(floor), F.percentile(score, F.lit(percentile))).alias("threshold"))
@@ -93,22 +120,28 @@ def fit_lda(tokens: DataFrame, k: int = 20, passes: int = 10, seed: int = 42, mi
 
 def lda_topics(model: PipelineModel, n: int = 10) -> DataFrame:
     """(topic, top_words)."""
-    words = F.array(*[F.lit(w) for w in model.stages[0].vocabulary]) if len(model.stages[0].vocabulary) < 500 else None
+    return topic_phrases(lda_words(model, n))
+
+
+def lda_words(model: PipelineModel, n: int = 10) -> DataFrame:
+    """(topic, rank, term)."""
     described = model.stages[1].describeTopics(n)
-    if words is not None:
-        return described.select("topic", F.concat_ws(", ", F.transform("termIndices", lambda i: F.element_at(words, i + 1))).alias("top_words"))
-    spark = described.sparkSession
-    vocabulary = spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "i int, term string")
-    ranks = described.select("topic", F.posexplode("termIndices").alias("rank", "i")).join(vocabulary, "i")
-    return topic_phrases(ranks)
+    vocabulary = described.sparkSession.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "i int, term string")
+    return described.select("topic", F.posexplode("termIndices").alias("rank", "i")).join(F.broadcast(vocabulary), "i").drop("i")
 
 
 def lda_documents(model: PipelineModel, tokens: DataFrame) -> DataFrame:
-    """(doc_id, topic_0 .., topic, p_max): distributions over topics and the likeliest."""
+    """(doc_id, topic_0 .., topic, p_max): distributions over topics and the likeliest.
+
+    A document without a word of the vocabulary has the prior, 1/k for each topic, and no likeliest one (null).
+    """
     k = model.stages[1].getK()
     p = model.transform(tokens).select("doc_id", vector_to_array("topics").alias("p"))
+    empty = F.array_max("p") <= 0
+    p = p.select("doc_id", F.when(empty, F.array_repeat(F.lit(1.0 / k), k)).otherwise(F.col("p")).alias("p"), empty.alias("empty"))
     best = F.array_max("p")
-    return p.select("doc_id", *[F.col("p")[i].alias(f"topic_{i}") for i in range(k)], (F.array_position("p", best) - 1).cast("int").alias("topic"), best.alias("p_max"))
+    topic = F.when(~F.col("empty"), F.array_position("p", best) - 1).cast("int")
+    return p.select("doc_id", *[F.col("p")[i].alias(f"topic_{i}") for i in range(k)], topic.alias("topic"), best.alias("p_max"))
 
 
 def flag_by_topics(documents: DataFrame, topics: Sequence[int], least: float = 0.3) -> DataFrame:
@@ -117,6 +150,41 @@ def flag_by_topics(documents: DataFrame, topics: Sequence[int], least: float = 0
     return documents.withColumn("p_health", total).withColumn("if_health", F.col("p_health") >= least)
 
 
+def cv_coherence(words: DataFrame, tokens: DataFrame, window: int = 110) -> DataFrame:
+    """(topic, coherence) of (topic, rank, term) in (doc_id, tokens): C_v coherence (Röder, Both and Hinneburg 2015).
+
+    Windows of ``window`` tokens slide over each document (a shorter one is one window); words and pairs of words are
+    counted by the windows that have them, a document's by intervals of windows. A word's vector has its normalised
+    pointwise mutual information with each word of the topic; a topic's coherence is the mean cosine of these vectors with
+    their sum.
+    """
+    spark = tokens.sparkSession
+    mine = F.broadcast(words.select("term").distinct())
+    size = F.size("tokens")
+    n = tokens.agg(F.sum(F.greatest(size - window + 1, F.lit(1))).alias("n"))
+    last = F.greatest(size - window, F.lit(0))
+    at = tokens.select("doc_id", last.alias("last"), F.posexplode("tokens").alias("i", "term")).join(mine, "term")
+    at = at.select("doc_id", "term", F.greatest(F.col("i") - window + 1, F.lit(0)).alias("s"), F.least("i", "last").alias("e"))
+    held = at.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("at"))
+    start = F.struct(F.lit(-1).alias("e"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    fresh = lambda a, x: F.struct(F.greatest(x["s"], a["e"] + 1).alias("s"), x["e"].alias("e"))
+    merged = F.aggregate("at", start, lambda a, x: F.when(x["e"] > a["e"], F.struct(x["e"].alias("e"), F.concat(a["out"], F.array(fresh(a, x))).alias("out"))).otherwise(a), lambda a: a["out"])
+    held = held.select("doc_id", "term", merged.alias("at"))
+    pairs = held.groupBy("doc_id").agg(F.collect_list(F.struct("term", "at")).alias("words"))
+    pairs = pairs.select(F.col("words"), F.explode("words").alias("p")).select("p", F.explode("words").alias("q")).filter(F.col("p.term") <= F.col("q.term"))
+    both = F.aggregate("p.at", F.lit(0), lambda t, x: t + F.aggregate("q.at", F.lit(0), lambda u, y: u + F.greatest(F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]) + 1, F.lit(0))))
+    together = pairs.select(F.col("p.term").alias("a"), F.col("q.term").alias("b"), both.alias("m")).groupBy("a", "b").agg(F.sum("m").alias("m"))
+    single = together.filter("a = b").select(F.col("a").alias("term"), F.col("m").alias("d"))
+    a, b = (words.select("topic", F.col("term").alias(x)).join(single.select(F.col("term").alias(x), F.col("d").alias(f"n{x}")), x, "left") for x in "xy")
+    grid = a.join(b, "topic").withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(together, ["a", "b"], "left").crossJoin(n)
+    p, tiny = F.coalesce("m", F.lit(0)) / F.col("n"), 1e-12
+    npmi = F.ln((p + tiny) / (F.col("nx") / F.col("n") * F.col("ny") / F.col("n"))) / -F.ln(p + tiny)
+    grid = grid.select("topic", "x", "y", F.coalesce(npmi, F.lit(0.0)).alias("v"))
+    total = grid.groupBy("topic", "y").agg(F.sum("v").alias("t"))
+    cosine = F.sum(F.col("v") * F.col("t")) / F.nullif(F.sqrt(F.sum(F.col("v") ** 2)) * F.sqrt(F.sum(F.col("t") ** 2)), F.lit(0.0))
+    return grid.join(total, ["topic", "y"]).groupBy("topic", "x").agg(F.coalesce(cosine, F.lit(0.0)).alias("c")).groupBy("topic").agg(F.avg("c").alias("coherence"))
+
+
 def umass_coherence(words: DataFrame, doc_terms: DataFrame) -> DataFrame:
     """(topic, coherence): mean over word pairs of ln((D(w, v) + 1) / D(v)) of (topic, rank, term) in (doc_id, term)."""
     mine = doc_terms.join(words.select("term").distinct(), "term", "left_semi")
@@ -129,15 +197,18 @@ def umass_coherence(words: DataFrame, doc_terms: DataFrame) -> DataFrame:
     return scored.groupBy("topic").agg(F.avg(F.ln((F.coalesce("n", F.lit(0)) + 1) / F.col("d"))).alias("coherence"))
 
 
-def fit_topics(docs: DataFrame, k: int = 10, dims: int = 5, least: int = 20, seed: int = 42, vector: str = "vector") -> DataFrame:
+def fit_topics(docs: DataFrame, k: int = 10, dims: int = 5, least: int = 20, far: float = 2.0, seed: int = 42, vector: str = "vector") -> DataFrame:
     """(doc_id, topic, is_outlier): unit vectors, PCA, k-means; clusters of fewer than ``least`` documents are outliers (-1).
 
-    Stands in for density clustering after a neighbour embedding, for which Spark has no operator.
+    So are documents further from their cluster's centre than ``far`` times its root mean square distance. Stands in for
+    density clustering after a neighbour embedding, for which Spark has no operator.
     """
     model = Pipeline(stages=[Normalizer(inputCol=vector, outputCol="_u"), PCA(k=dims, inputCol="_u", outputCol="_p"), KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="_c")]).fit(docs)
-    found = model.transform(docs).select("doc_id", "_c")
-    size = found.groupBy("_c").agg(F.count("*").alias("_n"))
-    topic = F.when(F.col("_n") < least, F.lit(-1)).otherwise(F.col("_c"))
+    centres = docs.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.stages[2].clusterCenters())], "_c int, _m array<double>")
+    found = model.transform(docs).select("doc_id", "_c", vector_to_array("_p").alias("_x")).join(F.broadcast(centres), "_c")
+    found = found.select("doc_id", "_c", F.aggregate(F.zip_with("_x", "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("_d"))
+    size = found.groupBy("_c").agg(F.count("*").alias("_n"), F.avg("_d").alias("_r"))
+    topic = F.when((F.col("_n") < least) | (F.col("_d") > far * far * F.col("_r")), F.lit(-1)).otherwise(F.col("_c"))
     return found.join(size, "_c").select("doc_id", topic.alias("topic"), (topic == -1).alias("is_outlier"))
 
 

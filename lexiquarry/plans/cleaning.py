@@ -143,7 +143,14 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_parquet(spark, f"{sf_dir}/documents.parquet")
 
 
-@plan()
+@plan("SELECT doc_id, text, lang FROM documents")
+def first_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops columns by position."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(docs.columns[:3])
+
+
+@plan("SELECT doc_id, text, source FROM documents")
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = readers.shared_path(spark, "scan-csv")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")

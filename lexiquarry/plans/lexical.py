@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import latin_words, ngrams as ngrams_of, overlapping_chunks, split_words, words
 from ..operators import lexstats as ops
 from ..operators import resample
-from ..operators.stopwords import DOMAIN_WORDS, STOP_WORDS
+from ..operators.stopwords import DOMAIN_WORDS, italian_stop_words
 from .catalog import SPEECH, T1, T2, T3, log_odds_cte, plan, speeches, tokens
 
-#: The fixed stop words, and frequent ones of the languages in the test tables.
-STOPS = sorted({*STOP_WORDS, "the", "and", "for", "that", "und", "der", "die", "les", "des", "que", "los", "las"})
+#: The Italian stop words, and frequent ones of the languages in the test tables.
+STOPS = sorted({*italian_stop_words(), "the", "and", "for", "that", "und", "der", "die", "les", "des", "que", "los", "las"})
 _list = lambda ws: ", ".join("('" + w.replace("'", "''") + "')" for w in ws)
 _STOP = f"stops(term) AS (VALUES {_list(STOPS)})"
 _DOMAIN = f"domain(term) AS (VALUES {_list(DOMAIN_WORDS)})"
@@ -80,10 +80,10 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.term_counts(ops.without(_long(spark, sf_dir), _words(spark, STOPS)), "doc_id")
 
 
-@plan(f"WITH {SPEECH} SELECT doc_id, array_to_string(list_filter({T1}, lambda t: regexp_full_match(t, '\\p{{L}}+') AND NOT list_contains([{', '.join(repr(w) for w in STOPS)}], t)), ' ') AS text_repro FROM speech")
+@plan(f"WITH {SPEECH} SELECT doc_id, array_to_string(list_filter({T1.replace('> 2', '> 1')}, lambda t: regexp_full_match(t, '\\p{{L}}+') AND NOT list_contains([{', '.join(repr(w) for w in STOPS)}], t)), ' ') AS text_repro FROM speech")
 def reprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = F.array(*[F.lit(w) for w in STOPS])
-    kept = F.filter(words("text"), lambda t: t.rlike(r"^\p{L}+$") & ~F.array_contains(stops, t))
+    kept = F.filter(words("text", 2), lambda t: t.rlike(r"^\p{L}+$") & ~F.array_contains(stops, t))
     return speeches(spark, sf_dir).select("doc_id", F.concat_ws(" ", kept).alias("text_repro"))
 
 
@@ -126,10 +126,11 @@ kept AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM mine GROU
 
 
 def _kept(spark: SparkSession, sf_dir: str, condition: str = "true") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, side3, period, term, n), the terms that are neither rare nor common, and the number of documents."""
     s = speeches(spark, sf_dir).filter(condition)
     n = ops.count_documents(s)
-    long = ops.without(ops.terms(s, latin_words("text"), "doc_id", "side3", "period"), _words(spark, STOPS))
-    return long, ops.vocabulary(long, n), n
+    tf = ops.without(ops.term_counts(ops.terms(s, latin_words("text"), "doc_id", "side3", "period"), "doc_id", "side3", "period"), F.broadcast(_words(spark, STOPS)))
+    return tf, ops.kept_terms(tf, n), n
 
 
 @plan(f"WITH {_bounded()} SELECT term, n AS count FROM kept ORDER BY n DESC, term LIMIT 30")
@@ -159,9 +160,9 @@ _PERIODS = "sides AS (SELECT term, count(*) FILTER (period = 'pre') AS a, count(
 
 
 def _periods(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
-    long, kept, _ = _kept(spark, sf_dir, condition)
-    counts = ops.term_counts(long, "period").join(kept.select("term"), "term", "left_semi")
-    return ops.two_sides(counts, "period", "pre", "post")
+    tf, _, n = _kept(spark, sf_dir, condition)
+    pick = lambda v: F.sum(F.when(F.col("period") == v, F.col("n")).otherwise(0))
+    return ops.kept_terms(tf, n, a=pick("pre"), b=pick("post")).select("term", "a", "b")
 
 
 @plan(f"WITH {_bounded()}, {_PERIODS}, {log_odds_cte('sides')} SELECT term, round(log_odds, 6) AS log_odds FROM z")
@@ -192,11 +193,10 @@ UNION ALL SELECT 'distinctive', side, term, log_odds FROM ({_DISTINCT})"""
 )
 def pairwise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left before and after the cutoff, both together (``pairwise_reports`` has all pairs and each side): frequent terms, TF-IDF and distinctive terms."""
-    long, kept, n = _kept(spark, sf_dir, "side3 = 'Left'")
-    counts = ops.two_sides(ops.term_counts(long, "period").join(kept.select("term"), "term", "left_semi"), "period", "pre", "post")
+    tf, kept, n = _kept(spark, sf_dir, "side3 = 'Left'")
     frequent = ops.top(kept, "n", 30).select(F.lit("frequency").alias("report"), F.lit("all").alias("side"), "term", F.col("n").cast("double").alias("score"))
-    weighted = ops.top(ops.tfidf_means(long, kept, n).withColumn("score", F.round("tfidf_mean", 6)), "score", 30).select(F.lit("tfidf").alias("report"), F.lit("all").alias("side"), "term", "score")
-    distinct = _distinctive(counts).select(F.lit("distinctive").alias("report"), "side", "term", F.col("log_odds").alias("score"))
+    weighted = ops.top(ops.tfidf_means(tf, kept, n).withColumn("score", F.round("tfidf_mean", 6)), "score", 30).select(F.lit("tfidf").alias("report"), F.lit("all").alias("side"), "term", "score")
+    distinct = _distinctive(_periods(spark, sf_dir, "side3 = 'Left'")).select(F.lit("distinctive").alias("report"), "side", "term", F.col("log_odds").alias("score"))
     return frequent.unionByName(weighted).unionByName(distinct)
 
 

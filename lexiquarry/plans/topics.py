@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import split_words, words
 from ..operators import topics as ops
 from ..operators.lexstats import term_counts, terms
+from ..operators.stopwords import HEALTH_PREFIXES, HEALTH_QUERY
 from .catalog import SPEECH, T1, plan, speeches, tokens
 
-#: Prefixes that occur in the test tables, in place of the health ones.
-PREFIXES = ("und", "que", "ment")
 
 
 def _counts(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
@@ -32,25 +31,26 @@ def ctfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir, 10).select("topic", "rank", "term", "score")
 
 
-_KEYS = "(" + " OR ".join(f"starts_with(strip_accents(lower(term)), '{p}')" for p in PREFIXES) + ")"
+_KEYS = "(" + " OR ".join(f"starts_with(strip_accents(lower(term)), '{p}')" for p in HEALTH_PREFIXES) + ")"
 
 
 @plan(f"WITH {_CTFIDF} SELECT topic, bool_or({_KEYS}) AS by_keywords FROM r WHERE rank <= 20 GROUP BY topic")
 def topic_keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.keyword_topics(_top(spark, sf_dir, 20), PREFIXES)
+    return ops.keyword_topics(_top(spark, sf_dir, 20), HEALTH_PREFIXES)
 
 
+_QUERY = ", ".join(f"'{w}'" for w in sorted(set(HEALTH_QUERY.split())))
 _SETS = f"""{_CTFIDF}, kw AS (SELECT topic, bool_or({_KEYS}) AS by_keywords, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 10) AS top_words FROM r WHERE rank <= 20 GROUP BY topic),
-sim AS (SELECT topic, round(avg(CAST(n_chars AS DOUBLE)) / 10000, 6) AS similarity FROM speech WHERE topic >= 0 GROUP BY topic),
-sets AS (SELECT kw.topic, top_words, similarity, by_keywords, similarity >= (SELECT greatest(0.05, quantile_cont(similarity, 0.85)) FROM sim) AS by_semantic FROM kw JOIN sim ON kw.topic = sim.topic)"""
+sim AS (SELECT topic, round(count(*) FILTER (term IN ({_QUERY})) / sqrt(count(*) * {len(set(HEALTH_QUERY.split()))}.0), 6) AS similarity FROM r WHERE rank <= 10 GROUP BY topic),
+sets AS (SELECT kw.topic, top_words, similarity, by_keywords, similarity >= (SELECT greatest(0.35, quantile_cont(similarity, 0.85)) FROM sim) AS by_semantic FROM kw JOIN sim ON kw.topic = sim.topic)"""
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics with both kinds of flags; mean length stands in for similarity to a query."""
-    sim = speeches(spark, sf_dir).filter("topic >= 0").groupBy("topic").agg(F.round(F.avg(F.col("n_chars").cast("double")) / 10000, 6).alias("similarity"))
-    sem = ops.above_threshold(sim, "similarity", 0.05)
+    """Topics with both kinds of flags: by the prefixes among 20 words, and by the similarity of 10 words with the query."""
     w = _top(spark, sf_dir, 20)
-    return ops.topic_phrases(w.filter("rank <= 10")).join(ops.keyword_topics(w, PREFIXES), "topic").join(sem, "topic")
+    ten = w.filter("rank <= 10")
+    sem = ops.above_threshold(ops.phrase_similarity(ten, HEALTH_QUERY), "similarity")
+    return ops.topic_phrases(ten).join(ops.keyword_topics(w, HEALTH_PREFIXES), "topic").join(sem, "topic")
 
 
 @plan(f"WITH {_SETS} SELECT topic, by_keywords, by_semantic, by_keywords OR by_semantic AS in_union, by_keywords AND by_semantic AS in_intersection FROM sets")
@@ -87,8 +87,15 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speeches(spark, sf_dir).select("doc_id", split_words("text").alias("tokens"))
 
 
+_fits: dict[tuple, object] = {}
+
+
 def _lda(spark: SparkSession, sf_dir: str, k: int = 20):
-    return ops.fit_lda(_tokens(spark, sf_dir), k)
+    """The fit of a table, made once in a session."""
+    key = spark.sparkContext.applicationId, sf_dir, k
+    if key not in _fits:
+        _fits[key] = ops.fit_lda(_tokens(spark, sf_dir), k)
+    return _fits[key]
 
 
 @plan()
@@ -117,15 +124,11 @@ def lda_health_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def lda_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean coherence of fits with 10 to 30 topics."""
+    """Mean C_v coherence of the first 20 words of fits with 10 to 30 topics."""
     t = _tokens(spark, sf_dir)
-    doc_terms = t.select("doc_id", F.explode("tokens").alias("term")).distinct()
     out = None
     for k in range(10, 31, 5):
-        model = ops.fit_lda(t, k)
-        vocabulary = spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "i int, term string")
-        ranks = model.stages[1].describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i")).join(vocabulary, "i")
-        one = ops.umass_coherence(ranks, doc_terms).agg(F.avg("coherence").alias("coherence")).select(F.lit(k).alias("k"), "coherence")
+        one = ops.cv_coherence(ops.lda_words(_lda(spark, sf_dir, k), 20), t).agg(F.avg("coherence").alias("coherence")).select(F.lit(k).alias("k"), "coherence")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATORS = (",", ";", "\t")
+#: The analysis' own subset, and the one by another topic model that checks it.
+DATASETS = ("main", "robust")
+
+
+def dataset(spark: SparkSession, which: str, paths: dict[str, str]) -> DataFrame:
+    """The subset to analyse, from Parquet."""
+    if which not in DATASETS:
+        raise ValueError(f"unknown dataset {which!r}")
+    return read_parquet(spark, paths[which])
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
     return f"{base.rstrip('/')}/lexiquarry-{name}-{uuid.uuid4().hex}"
 
 
