@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import period, quarter_of
+from ..sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,7 @@ def plan(sql: str | None = None):
 
 def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with d, quarter, period, side3, party_name, bloc_combined and a rule-based topic (-1: outlier)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     side = F.when(n <= 7, "Left").when(n <= 15, "Right").when(n <= 17, "Center").when(n == 18, "M5S")
     out = docs.withColumn("d", F.date_add(F.lit("2018-01-01").cast("date"), (F.col("doc_id") * 37 % 1733).cast("int"))).withColumn("side3", side)

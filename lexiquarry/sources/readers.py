@@ -35,6 +35,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer tasks than there are cores, dealt over all of them; a larger one as it is.
+
+    A file of few row groups is read by few tasks, and its texts would then be tokenised by these alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def separator(spark: SparkSession, path: str) -> str:
     """The separator that the header line has most of."""
     head = spark.read.text(path).limit(1).collect()
