@@ -7,7 +7,7 @@ the window in the document by the shingle's position; places that would begin be
 dropped (positional and length bounds); the rest are verified word for word.
 
 The benchmark is worked through in blocks of at most ``BLOCK`` windows, so what a task is sent has a bound; documents
-are scanned for each block and are never shuffled. Items are dealt to blocks in whole.
+are scanned for each block and are never shuffled. Long items are cut into pieces that together have all of their windows.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, binary, mix, trim, tune, word_bounds, word_hashes
+from .common import BASES, Rolling, binary, mix, staged, trim, tune, word_bounds, word_hashes
 
 SHINGLE = 3
-#: Windows in a block: some 20 MB for a task.
-BLOCK = 200_000
+#: Words, and so windows, in a block on average (items are dealt by hash): some 20 MB for a task. Windows of a piece.
+BLOCK, PIECE = 200_000, 2000
 
 #: A byte's lower case, A-Z only, and the bytes between words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -174,16 +174,26 @@ def _merged(stretches: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _n_blocks(benchmark: DataFrame) -> int:
-    """So many blocks that none has more than about BLOCK words, and so windows, unless one item alone has more."""
-    letters = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return -(-letters // (4 * BLOCK))
+def _pieces(window: int):
+    """Items as lower-case words; one of more than PIECE windows in pieces, each of its windows in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for item, raw in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w = Words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+                n = len(w.start)
+                for at in range(0, max(1, n - window + 1), PIECE) if n else ():
+                    size = min(n - at, PIECE + window - 1)
+                    out.append((item, w.text(at, size), size))
+            yield pa.record_batch({"item": pa.array([x[0] for x in out], pa.string()), "text": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.int64())})
+
+    return run
 
 
-def _block(benchmark: DataFrame, n: int, k: int, window: int) -> Windows:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-    return Windows([(r["item"], r["text"]) for r in mine], window)
+def _block(pieces: DataFrame, n: int, k: int, window: int) -> Windows:
+    mine = pieces.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).select("item", "text").collect()
+    return Windows([(r["item"], bytes(r["text"]).decode()) for r in mine], window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -202,9 +212,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     inner = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     schema = f"row {inner.schema['row'].dataType.simpleString()}, n_words long, spans {spans}, items {items}"
     found = inner.select("row", "text", F.array().cast(spans).alias("spans"), F.array().cast(items).alias("items"))
-    blocks = max(1, _n_blocks(benchmark))
+    of = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text")).filter("text is not null")
+    pieces = staged(of.mapInArrow(_pieces(window), "item string, text binary, n long").distinct(), "benchmark")
+    blocks = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // BLOCK))
     for k in range(blocks):
-        block = _block(benchmark, blocks, k, window)
+        block = _block(pieces, blocks, k, window)
         if len(block.words):
             counts = inner.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(block)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
             block.choose({int(np.int64(r["shingle"]).view(np.uint64)): r["n"] for r in counts})

@@ -113,7 +113,7 @@ def test_kernels_by_brute_force(rows, monkeypatch):
         train(table, classes=1)
 
 
-def test_decontaminate(spark, rows):
+def test_decontaminate(spark, rows, monkeypatch):
     item = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     bench = [(1, "One two three four five six seven eight nine ten eleven twelve"), (10, "short item"), (2, None), (3, "..."), (None, "lone words here"), (1, "One two three four five six seven eight nine ten eleven twelve")]
     docs = [(1, "x ONE-two three four five six seven eight nine ten y"), (2, "a short; item b short item"), (3, None), (4, ""), (5, "nothing"), (6, "lone words here"), (7, "two three four five six seven eight nine ten eleven twelve " * 50), (7, "short")]
@@ -132,6 +132,12 @@ def test_decontaminate(spark, rows):
         expected.append((i, len(w), len(hit), sorted(items)))
     got = [(r.row.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(rows(docs), table).collect()]
     assert sorted(got) == sorted(expected)
+    from lexiquarry.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "BLOCK", 7)
+    monkeypatch.setattr(module, "PIECE", 2)
+    got = [(r.row.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(rows(docs), table).collect()]
+    assert sorted(got) == sorted(expected)
     assert all(r.n_hit == 0 for r in decontaminate(rows(docs), table.limit(0)).collect())
     assert decontaminate(rows([]), table).count() == 0
 
