@@ -144,6 +144,29 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(table.limit(0)).count() == 0
 
 
+def test_dense_groups_are_counted_in_lots(spark, monkeypatch):
+    from lexiquarry.llm import embedding_dedup as module
+
+    r = np.random.default_rng(8)
+    centre = r.standard_normal((3, 32))
+    x = np.concatenate([centre[0] + 0.12 * r.standard_normal((90, 32)), centre[1] + 0.2 * r.standard_normal((60, 32)), centre[2] + 0.02 * r.standard_normal((40, 32)), r.standard_normal((50, 32))])
+    x[200] = x[3]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    least = classes([(k, None) for k in range(len(x))], lambda a, b: linked[a, b])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for few, block in ((module.FEW, module.BLOCK), (3, 7)):
+        monkeypatch.setattr(module, "FEW", few)
+        monkeypatch.setattr(module, "BLOCK", block)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(table).collect()}
+        missed = sum(linked[k].sum() - got[k][0] for k in got)
+        assert 0 <= missed <= 0.01 * linked.sum()
+        assert all(got[k][0] <= linked[k].sum() for k in got)
+        if not missed:
+            assert [got[k][1] for k in range(len(x))] == least
+
+
 def at_threshold(n, dims, mean, seed, cosine=0.95):
     """Unit vectors whose mean has this squared length, and others at the cosine from them."""
     r = np.random.default_rng(seed)
