@@ -9,9 +9,9 @@ Ertl 2018). Points are made in ascending order of time, for all shingles of many
 component must have been reached.
 
 Texts of equal words are one class from the start. Signatures are banded; every class is first compared with the
-least class of its buckets, and the links make components. Where a bucket then still holds several components, one member
-of each is compared, and where it still does, all members with those of other components, in blocks, first by signature
-and then by their words; one link for each member is kept.
+least class of its buckets, and the links make components. Where a bucket then still holds several components, members
+are compared with those of other components, in blocks, first by signature and then by their words; one link for each
+member is kept.
 So a group of copies costs a comparison each, and no list of all pairs is ever made. Every link is verified by the exact overlap of the multisets.
 """
 
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, parts: int) -
     placed = join_unique(pairs, n.select("lead", F.ceil(F.col("n") / TOGETHER).alias("blocks")), "lead", "inner", n)
     placed = placed.select("lead", "key", F.pmod(F.xxhash64("key"), "blocks").alias("block"))
     wanted = placed.unionByName(placed.select("lead", F.col("lead").alias("key"), "block").distinct())
-    found = wanted.join(texts.select("key", "text"), "key").withColumn("part", F.pmod(F.xxhash64("lead", "block"), F.lit(parts)).cast("int"))
+    found = wanted.join(texts.select("key", "text").hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("lead", "block"), F.lit(parts)).cast("int"))
     return deal(found, _verify(threshold), "a long, b long, similarity double", parts)
 
 
@@ -260,7 +260,7 @@ def across(members: DataFrame, texts: DataFrame, least: float, threshold: float,
     one, two = F.struct("owner", "i"), F.struct(F.col("o.other").alias("owner"), F.col("j").alias("i"))
     side = F.when(~same, F.col("o.side")).when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0).otherwise(2)
     lots = lots.select("key", "label", "band", F.xxhash64("bucket", F.least(one, two), F.greatest(one, two)).alias("lot"), side.alias("side"))
-    found = lots.join(texts, "key").withColumn("part", F.pmod("lot", F.lit(parts)).cast("int"))
+    found = lots.join(texts.hint("merge"), "key").withColumn("part", F.pmod("lot", F.lit(parts)).cast("int"))
     return deal(found, _compare(least, threshold), "a long, b long, similarity double", parts)
 
 
@@ -296,15 +296,12 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     free(pairs)
 
     least = threshold - 5 * (threshold * (1 - threshold) / SIZE) ** 0.5
-    texts = signed.select("key", "signature", "buckets", "text")
-    for representatives in (True, False):
-        labels = components(links.select("a", "b"), "near-labels").withColumnRenamed("node", "key")
-        of = shared.select("bucket", "band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        of = of.groupBy("bucket", "band", "label").agg(F.min("key").alias("key")) if representatives else of
-        of = staged(of, "near-labelled")
-        more = staged(across(of, texts, least, threshold, parts), "near-links")
-        free(of)
-        links = links.unionByName(more)
+    labels = components(links.select("a", "b"), "near-labels").withColumnRenamed("node", "key")
+    of = shared.select("bucket", "band", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    of = staged(of, "near-labelled")
+    more = staged(across(of, signed.select("key", "signature", "buckets", "text"), least, threshold, parts), "near-links")
+    free(of)
+    links = links.unionByName(more)
     labels = components(links.select("a", "b"), "near-final").withColumnRenamed("node", "lead")
 
     grouped = staged(join_unique(members, words.drop("n"), ["f1", "f2"], "left", words), "near-grouped")
