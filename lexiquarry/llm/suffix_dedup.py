@@ -29,7 +29,7 @@ from . import packed
 from .common import BASES, BYTE_VALUES, Rolling, Sized, binary, by_part, deal, doc_id_array, expand, first_of, free, gathered, mix, pack, squeeze, squeezed_texts, staged, tune, unpack, unsqueezed, word_hashes
 from .packed import DONE, FORCED, OPEN, RANK, STATE, TEXT
 
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 ANCHOR = 48
 PIECE = 1 << 18
 #: Different surroundings of one anchor that a task sends to the anchor's part; further ones go to parts of their own.
