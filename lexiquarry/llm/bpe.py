@@ -52,12 +52,24 @@ _OLD_WORDS = regex.compile(WORDS.pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]"
 #: Words kept with their codes by a worker; when there are more, it starts anew.
 KEPT_WORDS = 300_000
 #: States of the byte table that a worker keeps; with more, it starts the table anew.
-KEPT_STATES = 150_000
+KEPT_STATES = 250_000
 _NEVER = 1 << 62
+#: Keys of a state that are no bytes.
+LAST, INSIDE = -1, -2
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def split_words(text: str) -> list[str]:
-    return (WORDS if text.isascii() or not _NEW.search(text) else _OLD_WORDS).findall(text)
+    return (WORDS if _is_latin(text) or not _NEW.search(text) else _OLD_WORDS).findall(text)
 
 
 class Automaton:
@@ -111,26 +123,23 @@ class Automaton:
         return False
 
     def _start(self) -> None:
-        """An empty table: state 0 is before the first byte, after no token."""
-        self.known: dict[tuple, int] = {}
-        self.inside: list[tuple] = []
-        self.last: list[int] = []
-        self.moves: dict[int, int] = {}
+        """An empty table: the state before the first byte, after no token."""
+        self.known: dict[tuple, dict] = {}
         self.arcs: dict[int, bool] = {}
-        self._state((0,), -1)
+        self.first = self._state((0,), -1)
 
-    def _state(self, inside: tuple, last: int) -> int:
-        k = self.known.setdefault(inside, len(self.inside))
-        if k == len(self.inside):
-            self.inside.append(inside)
-            self.last.append(last)
-        return k
+    def _state(self, inside: tuple, last: int) -> dict:
+        """A row of the table: the next row by byte; its output and what may be under way, under keys that are no bytes."""
+        found = self.known.get(inside)
+        if found is None:
+            found = self.known[inside] = {LAST: last, INSIDE: inside}
+        return found
 
-    def _move(self, state: int, byte: int) -> int:
+    def _move(self, state: dict, byte: int) -> dict:
         """The state after a byte: (token before + 1, place in the tree of tokens) for each token that may be under way."""
         inside, last = [], -1
         follow, token, arcs = self.next.get, self.token, self.arcs
-        for pending in self.inside[state]:
+        for pending in state[INSIDE]:
             node = follow((pending & 0xFFFFFFFF) << 8 | byte)
             if node is None:
                 continue
@@ -146,25 +155,25 @@ class Automaton:
         if last < 0:
             raise ValueError(f"no token ends with the byte {byte}")
         inside.append(last + 1 << 32)
-        self.moves[state << 8 | byte] = found = self._state(tuple(inside), last)
+        state[byte] = found = self._state(tuple(inside), last)
         return found
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one word."""
-        if len(self.inside) > KEPT_STATES:
+        if len(self.known) > KEPT_STATES:
             self._start()
-        moves, last = self.moves.get, self.last
-        state, outputs = 0, []
-        add = outputs.append
+        state, states = self.first, []
+        add, move = states.append, self._move
         for byte in word:
-            found = moves(state << 8 | byte)
-            state = self._move(state, byte) if found is None else found
-            add(last[state])
-        out, at = [], len(word)
+            state = state.get(byte) or move(state, byte)
+            add(state)
+        out, at, length = [], len(word), self.length
         while at:
-            out.append(outputs[at - 1])
-            at -= self.length[out[-1]]
-        return out[::-1]
+            t = states[at - 1][LAST]
+            out.append(t)
+            at -= length[t]
+        out.reverse()
+        return out
 
 
 class Tokenizer:
@@ -188,13 +197,13 @@ class Tokenizer:
         known = labels | {i: t.encode() for t, i in special.items()}
         self.label = [known.get(i, b"") for i in range(max(known) + 1)]
         self.special = special
-        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
+        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)))
         self.words = _Words(self.automaton)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         code = self.words.__getitem__
-        if not self.cut or not self.cut.search(text):
+        if not any(t in text for t in self.special):
             return b"".join(map(code, split_words(text)))
         out, at = [], 0
         for m in self.cut.finditer(text):
