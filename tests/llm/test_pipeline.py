@@ -34,3 +34,20 @@ def test_pipeline(spark, tmp_path):
     assert left[2] == left[1]
     assert left[3] == left[4] == left[2] - {104}
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left[4]
+
+
+def test_stages_carry_rows_as_they_are(spark):
+    """Null and repeated doc_ids, and columns with the names that stages and operators use themselves."""
+    long = "a passage of many words that is more than a hundred bytes long and that two documents of this table have in common"
+    rows = [(1, "one two three four five six seven", "mine", "r"), (1, "one two three four five six seven", "yours", "r"), (None, "alpha beta gamma delta epsilon " + long, "n", None), (None, None, "null", "x"), (7, "other words stand here before it " + long, "late", "y"), (9, "", "empty", "z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), a, b, a, 5) for i, t, a, b in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, row string, kept string, key int")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = got.collect()
+    assert len(left) == 5 and {r["_id"] for r in left} >= {"n", "null", "late", "empty"} and all(r["_id"] == r["kept"] and r["key"] == 5 for r in left)
+    got = corpus_pipeline.repeated_passages(spark, docs.filter("_id != 'yours'"), "")
+    assert got.columns == docs.columns
+    cut = {r["_id"]: r for r in got.collect()}
+    assert (cut["late"].text, cut["late"].n_chars) == ("other words stand here before it", 32)
+    assert cut["n"].text.endswith(long) and cut["mine"].row == "r"
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0 == corpus_pipeline.repeated_passages(spark, docs.limit(0), "").count()
