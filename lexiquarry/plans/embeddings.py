@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, norm, unit
+from ..functions.vectors import norm, unit
 from ..operators import topics as ops
+from ..operators.nearest import nearest
 from .catalog import plan
 
 
@@ -48,9 +49,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, v
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every hundredth."""
-    v = _vectors(spark, sf_dir)
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    pairs = nearest(_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0)
     return ops.by_rank(pairs, 5, "query_id", "cosine", "vec_id")
 
 
